@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, mix, quality, shard
+from . import decontam, exact, jaccard, langid, mix, quality, shard, tokens, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,20 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.to_binary(_read(spark, sf_dir, "documents"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    return urls.filter_urls(pages, urls.train(pages))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_read(spark, sf_dir, "documents"))
 
@@ -32,6 +46,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
 
 
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.copies(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -49,5 +67,11 @@ SELECT x AS doc_a, y AS doc_b, round(c / (nx + ny - c), 6) AS jaccard FROM pairs
 """
 
 
+COPIES_SQL = """
+SELECT DISTINCT doc_id, owner_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS owner_id FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+WHERE doc_id <> owner_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard_join": JACCARD_SQL}
+    return {"op10_exact_dedup": COPIES_SQL, "op5_ngram_jaccard_join": JACCARD_SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, jaccard, langid, mix, quality, shard, tokens, urls
+from . import decontam, exact, jaccard, langid, mix, ngramlm, quality, shard, tokens, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.assign(_read(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramlm.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "conversations"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(_read(spark, sf_dir, "documents"))
 

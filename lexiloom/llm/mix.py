@@ -85,7 +85,8 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str
     plans = plan(hist, schedules or {}, total if budget == "all" else budget, start_power, end_power, bins)
     table = [(s, s is None, before.tolist(), float(epochs), want.tolist()) for s, (before, epochs, _, want) in plans.items()]
     lookup = spark.createDataFrame(table, "__s string, __null boolean, __before array<double>, __epochs double, __want array<double>")
-    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED], src.alias("__source"), h.alias("__h"))
+    # the document travels as one struct, so no column of it can meet the columns added here
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED]).alias("row"), F.col(f"`{key}`").alias("__key"), src.alias("__source"), h.alias("__h"))
     joined = base.join(F.broadcast(lookup) if len(table) * (bins + STEPS) <= 8 * TABLE_CELLS else lookup, F.col("__source").eqNullSafe(F.col("__s")))
     bin_ = F.least(F.floor(F.col("__h") / width), F.lit(bins - 1)).cast("int")
     lo, hi = F.element_at("__before", bin_ + 1), F.element_at("__before", bin_ + 2)
@@ -111,5 +112,5 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str
     a, b = F.element_at("__want", g + 1), F.element_at("__want", g + 2)
     inside = F.when(b > a, (F.col("__asked") - a) / (b - a)).otherwise(F.lit(0.0))
     out = placed.withColumn("position", F.round((g + F.least(inside, F.lit(1.0))) / STEPS, 12))
-    out = out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED], F.col("epoch").cast("int").alias("epoch"), "position")
-    return out.orderBy("position", "epoch", F.col(f"`{key}`")) if sort else out
+    out = out.orderBy("position", "epoch", "__key") if sort else out
+    return out.select("row.*", F.col("epoch").cast("int").alias("epoch"), "position")

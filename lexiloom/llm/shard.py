@@ -99,17 +99,14 @@ def assign(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, vnodes: i
         else:
             table[s * len(points) + a] = CUT + len(cutcells)
             cutcells.append(r)
-    names = docs.columns
-    inner = "__ring_cell"
-    while inner in names:
-        inner += "_"
     number = F.shiftright(order, 24 - SLICE_BITS) * len(points) + arc
-    placed = docs.withColumn(inner, _at(table, number, 3))
-    keep = [F.col(f"`{c}`") for c in names if c != column]
-    whole = placed.where(F.col(inner) < CUT).select(*keep, (F.col(inner) - 1).alias(column))
+    # the document travels as one struct, so no column of it can meet the columns added here
+    keep = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != column]).alias("row")
+    placed = docs.select(keep, _at(table, number, 3).alias("cell"), order.alias("order"), F.col(f"`{key}`").alias("key"))
+    whole = placed.where(F.col("cell") < CUT).select("row.*", (F.col("cell") - 1).alias(column))
     if not cutcells:
         return whole
-    rank = F.row_number().over(Window.partitionBy(inner).orderBy(order, F.col(f"`{key}`").asc_nulls_first()))
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy("order", F.col("key").asc_nulls_first()))
     case = F.lit(None).cast("int")
     for k, r in enumerate(cutcells):
         below, pick = 0, F.lit(r[-1][1])
@@ -118,7 +115,7 @@ def assign(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, vnodes: i
             below += n
             ends.append((below, s))
         for end, s in reversed(ends[:-1]):
-            pick = F.when(F.col("__rank") <= end, s).otherwise(pick)
-        case = F.when(F.col(inner) == CUT + k, pick).otherwise(case)
-    parted = placed.where(F.col(inner) >= CUT).withColumn("__rank", rank).select(*keep, case.alias(column))
+            pick = F.when(F.col("rank") <= end, s).otherwise(pick)
+        case = F.when(F.col("cell") == CUT + k, pick).otherwise(case)
+    parted = placed.where(F.col("cell") >= CUT).withColumn("rank", rank).select("row.*", case.alias(column))
     return whole.unionByName(parted)

@@ -129,7 +129,7 @@ def send(batches, model, kind: int, width: int, before: int, waiting):
         held.append((tokens(b, m["known"], m["ids"]), np.diff(b.ptr), cols[0] if cols else [None] * len(texts)))
         words += len(b.start)
         docs += len(texts)
-        if words * max(1, width // FIRST) > CHUNK_WORDS or docs > CHUNK_DOCS - 5_000:
+        if words > CHUNK_WORDS or docs > CHUNK_DOCS - 5_000:  # the same chunks whatever the width: later searches add to their documents
             yield from flush()
     if held:
         yield from flush()
@@ -155,8 +155,17 @@ def _packed(held, m, kind, width, before, waiting, chunk):
     docs = None
     if kind == QUERY and not before:
         docs = np.array([(0 if i is None else 1, i or 0, n) for i, n in zip(ids, lengths)], np.int64).reshape(-1, 3).tobytes()
+    doc = doc.astype(np.uint16)
+    step = max(1, CHUNK_WORDS * FIRST // width)
+    for a in range(0, max(len(place), 1), step):  # wide contexts in several pieces
+        z = a + step
+        yield from _blocks(t, place[a:z], start[a:z], doc[a:z], bucket[a:z], docs, m, kind, width, chunk)
+        docs = None
+
+
+def _blocks(t, place, start, doc, bucket, docs, m, kind, width, chunk):
     order = np.argsort(bucket.astype(np.uint16) if m["buckets"] < 65536 else bucket, kind="stable")
-    place, start, doc, bucket = place[order], start[order], doc[order].astype(np.uint16), bucket[order]
+    place, start, doc, bucket = place[order], start[order], doc[order], bucket[order]
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
     columns = [context(t, place, start, k) for k in range(1, width + 1)]
     blocks = []

@@ -130,11 +130,15 @@ def aligned_rows(one: pd.Series, two: pd.Series, lang: pd.Series) -> pd.DataFram
 
 def project(source: str, back: str, lang: str, offset: int = 0) -> list[tuple[int, str, int, int]]:
     """(number of the item, mention, start, end) in ``source`` for the ``number [ mention ]`` marks of its back translation, by alignment."""
-    parts, _ = align(source, back, lang)
+    folds = str.maketrans(tx._FOLD_FROM, tx._FOLD_TO)
+    parts, a0, b0 = [], 0, 0
+    for i, j, n in difflib.SequenceMatcher(None, source.translate(folds), back.translate(folds)).get_matching_blocks():
+        parts += [(source[a0:i], back[b0:j]), (source[i : i + n], back[j : j + n])]
+        a0, b0 = i + n, j + n
     out, at, open_at, number, tail = [], 0, None, None, ""
-    for a, b, _ in parts:
+    for a, b in parts:
         for k, ch in enumerate(b):
-            here = at + (min(k, len(a)) if len(a) and len(b) else 0)
+            here = at + min(k, len(a))
             if ch == "[" and open_at is None:
                 digits = tail.rstrip()[len(tail.rstrip().rstrip("0123456789")) :]
                 number, open_at = (int(digits), here) if digits else (None, here)

@@ -30,7 +30,7 @@ def answers_of(generated: Column) -> Column:
     """Answers from a model's output: parts between separators, what follows the last one dropped."""
     flat = F.trim(F.replace(F.replace(generated, F.lit("<pad>"), F.lit("")), F.lit("  "), F.lit(" ")))
     parts = F.split(flat, "<sep>")
-    return F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), F.trim)
+    return F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x: F.trim(x))
 
 
 def question_prompts(docs: DataFrame, answers: DataFrame, form: str = "highlight", end: str = END) -> DataFrame:

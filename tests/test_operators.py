@@ -322,7 +322,7 @@ def test_question_tasks(spark):
 def test_sources(spark, tmp_path):
     path = tmp_path / "in.jsonl"
     path.write_text('{"id": "5", "text": "a"}\n{"id": "-1", "text": "b"}\n__import__("os")\n{"text": "c", "lang": "de"}\n')
-    docs = documents.read_json_lines(spark, str(path))
+    docs = documents.read_json_lines(spark, str(path)).cache()
     assert docs.where("_corrupt_record is not null").count() == 1
     ids = {r.text: r.doc_id for r in documents.assign_ids(docs.where("text is not null")).collect()}
     assert ids["a"] == 5 and sorted(ids.values()) == [5, 6, 7]

@@ -212,8 +212,8 @@ def search(q: np.ndarray, nxt: np.ndarray, c: np.ndarray, cnxt: np.ndarray) -> t
     c, cnxt = c[order], cnxt[order].astype(np.uint64)
     keys = as_bytes(c)
     real = (q != 0).sum(axis=1)
-    for a in range(0, n, 400_000):
-        part = q[a : a + 400_000]
+    for a in range(0, n, 100_000):
+        part = q[a : a + 100_000]
         at = np.searchsorted(keys, as_bytes(part))
         best = np.zeros(len(part), np.int64)
         for near in (np.minimum(at, len(c) - 1), np.maximum(at - 1, 0)):
@@ -229,8 +229,8 @@ def search(q: np.ndarray, nxt: np.ndarray, c: np.ndarray, cnxt: np.ndarray) -> t
         size = np.diff(np.append(starts, len(c)))
         follow = np.sort(group.astype(np.uint64) << np.uint64(16) | cnxt)
         rows = np.flatnonzero(depth == d)
-        for a in range(0, len(rows), 400_000):
-            r = rows[a : a + 400_000]
+        for a in range(0, len(rows), 100_000):
+            r = rows[a : a + 100_000]
             low = q[r].copy()
             low[:, d:] = 0
             g = group[np.searchsorted(keys, as_bytes(low))]
@@ -321,7 +321,7 @@ def vocabulary(corpus: DataFrame, buckets: int, size: int = VOCABULARY) -> dict:
 def score(docs: DataFrame, corpus: DataFrame, first: int = FIRST, wider: int = WIDER, size: int = VOCABULARY) -> DataFrame:
     """doc_id, n_words, log_prob (mean, natural), mean_context (mean length of the contexts matched) for every row of ``docs``; ``corpus`` has a column text."""
     spark = docs.sparkSession
-    buckets = max(8, 2 * partitions(spark))
+    buckets = max(8, 6 * partitions(spark))  # what a shard holds when unpacked is about ten times its packed size
     corpus = slim(corpus, "text").where("text is not null")
     docs = slim(docs, "doc_id", "text")
     model = spark.sparkContext.broadcast(vocabulary(corpus, buckets, size))  # of fixed size

@@ -3,8 +3,8 @@
 Two models of one kind, for "good" and for "toxic", are fitted on a bounded sample of labelled rows
 (SAMPLE rows, the first in a hashed order of doc_id). Boosting goes round the features in turn, each time adding a
 shallow tree on one feature's bins, then round the strongest pairs. What is left is a lookup table for each
-feature and pair, so scoring is adding table entries. Two of the features come from word lists with
-log odds for the two labels, learned on one half of the sample; the models are fitted on the other half.
+feature and pair, so scoring is adding table entries. Three of the features come from a list of words and
+beginnings of words with log odds for the two labels, learned on one half of the sample; the models are fitted on the other half.
 
 A document is kept where its quality is at least ``cut`` and its toxicity less than ``toxic_cut``.
 
@@ -26,7 +26,8 @@ from . import kernel
 from .common import cut as checkpointed
 from .common import remote, slim
 
-SAMPLE, LEXICON, MIN_DOCS = 8_000, 20_000, 5
+SAMPLE, LEXICON, MIN_DOCS = 8_000, 40_000, 4
+STEMS = (6, 8)
 BINS, PAIR_BINS, PAIRS, ROUNDS, PAIR_ROUNDS, RATE = 64, 16, 8, 150, 60, 0.1
 CUT, TOXIC_CUT = 0.5, 0.5
 FEATURES = ("words", "word_length", "upper", "symbols", "digits", "distinct", "short", "line_repeats", "line_length", "touching_symbols", "top_word", "good_words", "toxic_words", "toxic_best")
@@ -45,6 +46,18 @@ def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t["upper"], t["space"], t["digit"]
 
 
+def pieces(b: kernel.Batch, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, texts): words, and the beginnings of longer ones, so that inflected forms that were never seen are known by their stems."""
+    doc, length = b.doc_of_word(), b.end - b.start
+    hashes, docs = [h], [doc]
+    for n in STEMS:
+        k = np.flatnonzero(length > n)
+        cut = kernel.Batch(b.cps, b.low, b.at, b.start[k], b.start[k] + n, b.ptr)
+        hashes.append(kernel.mix(cut.hashes() ^ np.uint64(n)))
+        docs.append(doc[k])
+    return np.concatenate(hashes), np.concatenate(docs)
+
+
 def features(texts: list[str], lexicon: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """One row for each text, whole texts."""
     b = kernel.read(texts)
@@ -89,13 +102,15 @@ def features(texts: list[str], lexicon: tuple[np.ndarray, np.ndarray, np.ndarray
         out[:, 9] = by(~space[after] & ~np.isin(after, [44, 46])) / some
     known, good, toxic = lexicon
     if len(known) and len(h):
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        hit = known[at] == h
-        out[:, 11] = by(np.where(hit, good[at], 0.0)) / some
-        odds = np.where(hit, np.maximum(toxic[at], 0.0), 0.0)
-        out[:, 12] = by(odds) / some
+        p, owner = pieces(b, h)
+        at = np.minimum(np.searchsorted(known, p), len(known) - 1)
+        hit = known[at] == p
+        at, owner = at[hit], owner[hit]
+        out[:, 11] = np.bincount(owner, good[at], n) / some
+        odds = np.maximum(toxic[at], 0.0)
+        out[:, 12] = np.bincount(owner, odds, n) / some
         best = np.zeros(n)
-        np.maximum.at(best, doc[odds > 0], odds[odds > 0])
+        np.maximum.at(best, owner, odds)
         out[:, 13] = best
     out[words == 0] = 0.0
     return out
@@ -197,7 +212,7 @@ def word_counts(batches):
     schema = pa.schema([("w", pa.int64()), ("n", pa.int64()), ("good", pa.int64()), ("toxic", pa.int64())])
     for texts, (quality, toxic) in kernel.chunks(batches, ("quality", "toxic")):
         b = kernel.read(texts)
-        h, doc = b.hashes(), b.doc_of_word()
+        h, doc = pieces(b, b.hashes())
         pair = np.unique(np.stack([h.view(np.int64), doc]), axis=1)
         w, at = np.unique(pair[0], return_inverse=True)
         q, t = np.array(quality, float), np.array(toxic, float)

@@ -278,7 +278,7 @@ def test_mixing_meets_its_weights(spark):
 def test_quality_classifier(spark, awkward):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    model = quality.train(docs, labels.where("doc_id % 2 = 0"), sample=1_500)
+    model = quality.train(docs, labels.where("doc_id % 2 = 0"))
     test = labels.where("doc_id % 2 = 1")
     got = quality.score(docs.join(test.select("doc_id"), "doc_id", "left_semi"), model).join(test, "doc_id").toPandas()
     assert ((got.quality_score >= 0.5) == (got.quality == 1)).mean() > 0.95

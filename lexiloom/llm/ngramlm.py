@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import kernel
 from .common import cut, partitions, remote, slim
 
-VOCABULARY, FIRST, WIDER, SMOOTH = 65_000, 8, 8, 1.0
+VOCABULARY, FIRST, WIDER, SMOOTH = 65_000, 4, 8, 1.0
 UNKNOWN = 65_535
 #: Contexts that go on to the next search are known by hash; up to so many travel to the map tasks, beyond it all places are sent again.
 WAITING = 1_000_000

@@ -79,7 +79,7 @@ class Trie:
             node.kids[upper.label[0]] = upper
             self.size += 200
             node, at = upper, at + n
-        if self.folder and self.size > self.limit:
+        if self.folder and self.size > max(self.limit, 2 * len(key) + 1_000):  # a text larger than the memory is no reason to spill
             self._spill()
 
     def walk(self, node: Node | None = None, prefix: bytes = b""):
@@ -103,7 +103,7 @@ class Trie:
         self.root, self.size = Node(b""), 0
         for first, (files, rows, _) in self.away.items():
             sub = Trie(self.folder, self.limit)
-            sub.depth = len(first) + 4
+            sub.depth = 2 * len(first) + 4  # doubled, so long common beginnings take few steps
             for key, ids in (r for part in [*map(self._load, files), rows] for r in part):
                 sub.insert(key, ids)
             yield from sub.groups()

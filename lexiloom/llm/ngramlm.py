@@ -32,8 +32,9 @@ from .common import cut, partitions, remote, slim
 
 VOCABULARY, FIRST, WIDER, SMOOTH = 65_000, 4, 8, 1.0
 UNKNOWN = 65_535
-#: Contexts that go on to the next search are known by hash; up to so many travel to the map tasks, beyond it all places are sent again.
-WAITING = 1_000_000
+#: Contexts that go on to the next search are known by hash; up to so many travel to the map tasks as they are, more of them as a bitmap of fixed
+#: size. It lets some other places through as well, which are known by their shorter match and were counted in the search before.
+WAITING, WAITING_BITS = 1_000_000, 27
 CHUNK_WORDS, CHUNK_DOCS = 1_200_000, 60_000
 SENT = "bucket int, kind int, chunk long, block binary, docs binary"
 SENT_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("block", pa.binary()), ("docs", pa.binary())])
@@ -89,6 +90,19 @@ def context_hash(columns) -> np.ndarray:
     return kernel.mix(h)
 
 
+def mark(bits: np.ndarray, hashes: np.ndarray) -> None:
+    at = hashes >> np.uint64(64 - WAITING_BITS)
+    np.bitwise_or.at(bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+
+def waits(hashes: np.ndarray, waiting: np.ndarray) -> np.ndarray:
+    """Which hashes are in ``waiting``: hashes, or a bitmap of their leading bits."""
+    if waiting.dtype != np.uint8:
+        return np.isin(hashes, waiting)
+    at = hashes >> np.uint64(64 - WAITING_BITS)
+    return (waiting[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+
+
 def hot_pairs(batches, model):
     """(word, next word, times) for the words that are spread over shards."""
     m = model.value
@@ -112,7 +126,7 @@ def bucket_of(c1: np.ndarray, c2: np.ndarray, spread: np.ndarray, buckets: int)
 
 
 def send(batches, model, kind: int, width: int, before: int, waiting):
-    """Places of a partition with ``width`` words of context, packed by shard. ``before``: only those whose first ``before`` words are in ``waiting`` (None: all), sharded by these words' hash."""
+    """Places of a partition with ``width`` words of context, packed by shard. ``before``: only those whose first ``before`` words are in ``waiting``, sharded by these words' hash."""
     m = model.value
     names = ("doc_id",) if kind == QUERY else ()
     part, number = TaskContext.get().partitionId(), 0
@@ -145,9 +159,7 @@ def _packed(held, m, kind, width, before, waiting, chunk):
     if before:
         cols = [context(t, place, start, k) for k in range(1, before + 1)]
         h = context_hash(cols)
-        k = cols[-1] > 0  # has as many words before it
-        if waiting is not None:
-            k &= np.isin(h, waiting.value)
+        k = (cols[-1] > 0) & waits(h, waiting.value)  # has as many words before it
         place, start, doc, h = place[k], start[k], doc[k], h[k]
         bucket = (h % np.uint64(m["buckets"])).astype(np.uint32)
     else:
@@ -272,18 +284,19 @@ def shard(table: pa.Table, model, width: int, before: int) -> pa.Table:
     lp = np.log((hits + SMOOTH * single) / (times + SMOOTH))
     lp = np.where(depth > 0, lp, np.log(single))
     on = depth == width  # matched in all words sent; there may be more before them
-    waits = np.unique(context_hash([q[on, k].astype(np.uint16) for k in range(width)])) if on.any() else np.zeros(0, np.uint64)
+    further = np.unique(context_hash([q[on, k].astype(np.uint16) for k in range(width)])) if on.any() else np.zeros(0, np.uint64)
+    counts = ~on & (depth >= before)  # a shorter match was counted in the search before, against all that can match
     edge = np.concatenate([[0], np.cumsum(rows)])
     out = []
     for i, a, z in zip(mine, edge[:-1], edge[1:]):
-        k = ~on[a:z]
+        k = counts[a:z]
         d = doc[a:z][k].astype(np.int64)
         u, back = np.unique(d, return_inverse=True)
         s = np.zeros(len(u), SUM)
         s["i"], s["n"], s["lp"], s["m"] = u, np.bincount(back, minlength=len(u)), np.bincount(back, lp[a:z][k], len(u)), np.bincount(back, depth[a:z][k], len(u))
         out.append((int(chunk[i]), s.tobytes(), docs[i], None))
-    if len(waits):
-        out.append((-1, None, None, waits.tobytes()))
+    if len(further):
+        out.append((-1, None, None, further.tobytes()))
     return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out), OUT_ARROW)], schema=OUT_ARROW)
 
 
@@ -336,11 +349,16 @@ def score(docs: DataFrame, corpus: DataFrame, first: int = FIRST, wider: int = W
         found = cut(sent.groupBy("bucket").applyInArrow(remote(__name__, "shard", model=model, width=width, before=before), OUT))
         part = found.where("sums is not null").select("chunk", "sums", "docs")
         sums = part if sums is None else sums.unionByName(part)
-        more = [np.frombuffer(r[0], np.uint64) for r in found.where("waits is not null").select("waits").limit(WAITING // 1_000).collect()]
-        if not more:
+        on = found.where("waits is not null").select("waits")
+        number = (on.agg(F.sum(F.octet_length("waits"))).first()[0] or 0) // 8
+        if not number:
             break
-        hashes = np.unique(np.concatenate(more))
-        complete = len(more) < WAITING // 1_000 and len(hashes) <= WAITING
-        waiting = spark.sparkContext.broadcast(hashes) if complete else None
+        if number <= WAITING:
+            hashes = np.unique(np.concatenate([np.frombuffer(r[0], np.uint64) for r in on.collect()]))
+        else:
+            hashes = np.zeros(1 << WAITING_BITS - 3, np.uint8)
+            for r in on.toLocalIterator():
+                mark(hashes, np.frombuffer(r[0], np.uint64))
+        waiting = spark.sparkContext.broadcast(hashes)
         width, before = width * wider, width
     return sums.groupBy("chunk").applyInArrow(remote(__name__, "finish"), "doc_id long, n_words int, log_prob double, mean_context double")

@@ -241,6 +241,23 @@ def test_language_model(spark, awkward, first):
         assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], abs=2e-6)
 
 
+def scored(spark, asked, corpus, **how):
+    frame = spark.createDataFrame([(t,) for t in corpus], "text string")
+    got = ngramlm.score(spark.createDataFrame(asked, "doc_id long, text string"), frame, **how).collect()
+    want = [(d, *x) for (d, _), x in zip(asked, brute.language_model(corpus, [t for _, t in asked]))]
+    assert len(got) == len(want)
+    for g, w in zip(sorted(map(tuple, got)), sorted(want)):
+        assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], abs=2e-6)
+
+
+@pytest.mark.parametrize("waiting", [0, 1_000])
+def test_language_model_with_many_waiting_contexts(spark, monkeypatch, waiting):
+    monkeypatch.setattr(ngramlm, "WAITING", waiting)
+    corpus = ["a b c d e f g h i j k l m", "x c d e f q", "the quick brown fox jumps over the lazy dog", "brown fox jumps high", "over the lazy cat"]
+    asked = [(1, "a b c d e f g h i j k l m n"), (2, "quick brown fox jumps over the lazy cat the dog"), (3, "c d e f q d e f g"), (4, "the lazy fox jumps over the brown dog")]
+    scored(spark, asked, corpus, first=2, wider=2)
+
+
 def test_language_model_of_nothing(spark, awkward):
     corpus = spark.createDataFrame([(None,)], "text string")
     out = ngramlm.score(awkward, corpus)

@@ -11,12 +11,14 @@ counts for such a word alone come from a histogram that its shards share.
 Contexts are sent with FIRST words. A place whose context matches in all of them is searched again with WIDER times as many words, with the few corpus places that
 have the same FIRST words, and so on until no context matches in full; so contexts are unbounded, though almost all places need one search.
 
-The vocabulary is the VOCABULARY most frequent words of the corpus; all others are one symbol. Tokens take two bytes.
+The vocabulary is all words of the corpus, numbered by falling frequency, so one table of them (20 bytes a word) is held by the driver and the workers.
+A word that the corpus lacks has the add-one chance of one unseen word, and never matches in a context. Tokens have four bytes and travel by
+byte planes, of which the upper ones are nearly all zero.
 
 Defined results
 * null or empty text, or text without words: n_words 0, log_prob null. Null doc_id and repeated rows: row by row.
 * null or empty texts of the corpus add nothing; an empty corpus gives every word p1 = 1 / (vocabulary + 1), vocabulary being 0.
-* equally frequent words enter the vocabulary by hash. Contexts don't cross documents. Only doc_id and text are read; empty input gives no rows.
+* equally frequent words are numbered by hash. Contexts don't cross documents. Only doc_id and text are read; empty input gives no rows.
 """
 
 from __future__ import annotations
@@ -30,8 +32,7 @@ from pyspark.sql import functions as F
 from . import kernel
 from .common import cut, partitions, remote, slim
 
-VOCABULARY, FIRST, WIDER, SMOOTH = 65_000, 4, 8, 1.0
-UNKNOWN = 65_535
+FIRST, WIDER, SMOOTH = 4, 8, 1.0
 #: Contexts that go on to the next search are known by hash; up to so many travel to the map tasks as they are, more of them as a bitmap of fixed
 #: size. It lets some other places through as well, which are known by their shorter match and were counted in the search before.
 WAITING, WAITING_BITS = 1_000_000, 27
@@ -52,12 +53,13 @@ def codec():
 
 
 def squeeze(x: np.ndarray) -> bytes:
-    raw = x.tobytes()
+    raw = np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
     return len(raw).to_bytes(4, "little") + codec().compress(raw, asbytes=True)
 
 
-def expand(x: bytes) -> bytes:
-    return codec().decompress(x[4:], int.from_bytes(x[:4], "little"), asbytes=True)
+def expand(x: bytes) -> np.ndarray:
+    raw = codec().decompress(x[4:], int.from_bytes(x[:4], "little"), asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
 # ---- map side --------------------------------------------------------------------------------------
@@ -71,16 +73,17 @@ def word_counts(batches):
 
 
 def tokens(b: kernel.Batch, known: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    h = b.hashes()
+    """Numbers of words from 1; that after the last is any word the corpus lacks."""
+    h, unknown = b.hashes(), len(known) + 1
     if not len(known):
-        return np.full(len(h), UNKNOWN, np.uint16)
+        return np.full(len(h), unknown, np.uint32)
     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    return np.where(known[at] == h, ids[at], UNKNOWN).astype(np.uint16)
+    return np.where(known[at] == h, ids[at], unknown).astype(np.uint32)
 
 
 def context(t: np.ndarray, place: np.ndarray, doc_start: np.ndarray, k: int) -> np.ndarray:
     """The k-th word before each place (k from 1), 0 where the document hasn't as many."""
-    return np.where(place - k >= doc_start, t[np.maximum(place - k, 0)], 0).astype(np.uint16)
+    return np.where(place - k >= doc_start, t[np.maximum(place - k, 0)], 0).astype(np.uint32)
 
 
 def context_hash(columns) -> np.ndarray:
@@ -113,10 +116,10 @@ def hot_pairs(batches, model):
             continue
         same = np.ones(len(t), bool)
         same[b.ptr[:-1][b.ptr[:-1] < len(t)]] = False
-        first = t[:-1].astype(np.uint32)
+        first = t[:-1].astype(np.uint64)
         k = same[1:] & (m["spread"][first] > 1)
-        pair, n = np.unique(first[k] << np.uint32(16) | t[1:][k], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array((pair >> 16).astype(np.int32)), pa.array((pair & 0xFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], ["w", "x", "n"])
+        pair, n = np.unique(first[k] << np.uint64(32) | t[1:][k].astype(np.uint64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array((pair >> np.uint64(32)).astype(np.int32)), pa.array((pair & np.uint64(0xFFFFFFFF)).astype(np.int32)), pa.array(n.astype(np.int64))], ["w", "x", "n"])
 
 
 def bucket_of(c1: np.ndarray, c2: np.ndarray, spread: np.ndarray, buckets: int) -> np.ndarray:
@@ -167,7 +170,7 @@ def _packed(held, m, kind, width, before, waiting, chunk):
     docs = None
     if kind == QUERY and not before:
         docs = np.array([(0 if i is None else 1, i or 0, n) for i, n in zip(ids, lengths)], np.int64).reshape(-1, 3).tobytes()
-    doc = doc.astype(np.uint16)
+    doc = doc.astype(np.uint32)
     step = max(1, CHUNK_WORDS * FIRST // width)
     for a in range(0, max(len(place), 1), step):  # wide contexts in several pieces
         z = a + step
@@ -186,7 +189,7 @@ def _blocks(t, place, start, doc, bucket, docs, m, kind, width, chunk):
         blocks.append(squeeze(np.concatenate([*own, t[place[a:z]], *(c[a:z] for c in columns)])))
     where = bucket[cuts].astype(np.int32).tolist()
     if docs is not None and not where:  # texts without a word still have a row
-        where, blocks = [0], [squeeze(np.zeros(0, np.uint16))]
+        where, blocks = [0], [squeeze(np.zeros(0, np.uint32))]
     if where:
         n = len(where)
         yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array(blocks, pa.binary()), pa.array([docs] + [None] * (n - 1), pa.binary())], schema=SENT_ARROW)
@@ -208,9 +211,9 @@ def spread_histogram(table: pa.Table, model) -> pa.Table:
 
 def _grid(blocks: list[bytes], lead: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(lead columns, contexts as rows of big-endian tokens) of packed blocks, and the rows of each block."""
-    parts = [np.frombuffer(expand(x), np.uint16).reshape(lead + width, -1) for x in blocks]
-    every = np.concatenate(parts, axis=1) if parts else np.zeros((lead + width, 0), np.uint16)
-    return every[:lead], np.ascontiguousarray(every[lead:].T.astype(">u2")), np.array([p.shape[1] for p in parts], np.int64)
+    parts = [expand(x).reshape(lead + width, -1) for x in blocks]
+    every = np.concatenate(parts, axis=1) if parts else np.zeros((lead + width, 0), np.uint32)
+    return every[:lead], np.ascontiguousarray(every[lead:].T.astype(">u4")), np.array([p.shape[1] for p in parts], np.int64)
 
 
 def search(q: np.ndarray, nxt: np.ndarray, c: np.ndarray, cnxt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,7 +222,7 @@ def search(q: np.ndarray, nxt: np.ndarray, c: np.ndarray, cnxt: np.ndarray) -> t
     depth, times, hits = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     if not len(c) or not n:
         return depth, times, hits
-    as_bytes = lambda x: np.ascontiguousarray(x).view(f"S{2 * width}").ravel()
+    as_bytes = lambda x: np.ascontiguousarray(x).view(f"S{4 * width}").ravel()
     order = np.lexsort((cnxt, as_bytes(c)))
     c, cnxt = c[order], cnxt[order].astype(np.uint64)
     keys = as_bytes(c)
@@ -239,7 +242,7 @@ def search(q: np.ndarray, nxt: np.ndarray, c: np.ndarray, cnxt: np.ndarray) -> t
         group = np.cumsum(agree < d) - 1
         starts = np.flatnonzero(agree < d)
         size = np.diff(np.append(starts, len(c)))
-        follow = np.sort(group.astype(np.uint64) << np.uint64(16) | cnxt)
+        follow = np.sort(group.astype(np.uint64) << np.uint64(32) | cnxt)
         rows = np.flatnonzero(depth == d)
         for a in range(0, len(rows), 100_000):
             r = rows[a : a + 100_000]
@@ -247,7 +250,7 @@ def search(q: np.ndarray, nxt: np.ndarray, c: np.ndarray, cnxt: np.ndarray) -> t
             low[:, d:] = 0
             g = group[np.searchsorted(keys, as_bytes(low))]
             times[r] = size[g]
-            f = g.astype(np.uint64) << np.uint64(16) | nxt[r].astype(np.uint64)
+            f = g.astype(np.uint64) << np.uint64(32) | nxt[r].astype(np.uint64)
             hits[r] = np.searchsorted(follow, f, "right") - np.searchsorted(follow, f, "left")
     return depth, times, hits
 
@@ -268,7 +271,7 @@ def shard(table: pa.Table, model, width: int, before: int) -> pa.Table:
     if hot.any():  # the word alone as context: its other shards count too
         follow, total = {}, {}
         for i in pick(HISTOGRAM):
-            x = np.frombuffer(expand(blocks[i]), np.uint32)
+            x = expand(blocks[i])
             pairs = x[1:].reshape(-1, 2)
             order = np.argsort(pairs[:, 0])
             follow[int(x[0])], total[int(x[0])] = pairs[order], int(pairs[:, 1].sum())
@@ -280,11 +283,11 @@ def shard(table: pa.Table, model, width: int, before: int) -> pa.Table:
                 depth[r], times[r], hits[r] = 1, total[int(w)], np.where(f[at, 0] == nxt[r], f[at, 1], 0)
             else:
                 depth[r] = times[r] = hits[r] = 0
-    single = m["single"][nxt]
+    single = (m["times"][nxt] + 1.0) / (m["total"] + len(m["known"]) + 1)
     lp = np.log((hits + SMOOTH * single) / (times + SMOOTH))
     lp = np.where(depth > 0, lp, np.log(single))
     on = depth == width  # matched in all words sent; there may be more before them
-    further = np.unique(context_hash([q[on, k].astype(np.uint16) for k in range(width)])) if on.any() else np.zeros(0, np.uint64)
+    further = np.unique(context_hash([q[on, k].astype(np.uint32) for k in range(width)])) if on.any() else np.zeros(0, np.uint64)
     counts = ~on & (depth >= before)  # a shorter match was counted in the search before, against all that can match
     edge = np.concatenate([[0], np.cumsum(rows)])
     out = []
@@ -314,30 +317,28 @@ def finish(table: pa.Table) -> pa.Table:
 # ---- plan ------------------------------------------------------------------------------------------
 
 
-def vocabulary(corpus: DataFrame, buckets: int, size: int = VOCABULARY) -> dict:
-    """Ids and chances of the corpus's most frequent words, and over how many shards each is spread. At most ``size`` rows go to the driver."""
-    counts = corpus.mapInArrow(remote(__name__, "word_counts"), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    top = sorted((r[0], r[1]) for r in counts.orderBy(F.desc("n"), "w").limit(size).collect())
-    known = np.array([w for w, _ in top], np.int64).view(np.uint64)
-    n = np.array([c for _, c in top], np.int64)
+def vocabulary(corpus: DataFrame, buckets: int) -> dict:
+    """Numbers and chances of the corpus's words, and over how many shards each is spread. Distinct words go to the driver, whole."""
+    counts = corpus.mapInArrow(remote(__name__, "word_counts"), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
+    known, n = np.array(counts.column("w"), np.int64).view(np.uint64), np.array(counts.column("n"), np.int64)
     order = np.argsort(known)
     known, n = known[order], n[order]
-    ids = np.arange(1, len(known) + 1)
-    times = np.zeros(65_536, np.int64)
+    ids = np.empty(len(known), np.uint32)
+    ids[np.argsort(-n, kind="stable")] = np.arange(1, len(known) + 1)
+    times = np.zeros(len(known) + 2, np.int64)  # none before a text's first word, and none of the words it lacks
     times[ids] = n
-    times[UNKNOWN] = total - n.sum()
-    spread = np.maximum(1, np.minimum(np.ceil(2 * buckets * times / max(total, 1)), buckets)).astype(np.int64)
-    return {"known": known, "ids": ids, "spread": spread, "single": (times + 1.0) / (total + len(known) + 1), "buckets": buckets}
+    total = int(n.sum())
+    spread = np.maximum(1, np.minimum(np.ceil(2 * buckets * times / max(total, 1)), buckets)).astype(np.uint32)
+    return {"known": known, "ids": ids, "spread": spread, "times": times.astype(np.uint32 if total < 1 << 32 else np.uint64), "total": total, "buckets": buckets}
 
 
-def score(docs: DataFrame, corpus: DataFrame, first: int = FIRST, wider: int = WIDER, size: int = VOCABULARY) -> DataFrame:
+def score(docs: DataFrame, corpus: DataFrame, first: int = FIRST, wider: int = WIDER) -> DataFrame:
     """doc_id, n_words, log_prob (mean, natural), mean_context (mean length of the contexts matched) for every row of ``docs``; ``corpus`` has a column text."""
     spark = docs.sparkSession
     buckets = max(8, 6 * partitions(spark))  # what a shard holds when unpacked is about ten times its packed size
     corpus = slim(corpus, "text").where("text is not null")
     docs = slim(docs, "doc_id", "text")
-    model = spark.sparkContext.broadcast(vocabulary(corpus, buckets, size))  # of fixed size
+    model = spark.sparkContext.broadcast(vocabulary(corpus, buckets))
     pairs = corpus.mapInArrow(remote(__name__, "hot_pairs", model=model), "w int, x int, n long").groupBy("w", "x").agg(F.sum("n").alias("n"))
     extra = pairs.groupBy("w").applyInArrow(remote(__name__, "spread_histogram", model=model), SENT)
     sums, width, before, waiting = None, first, 0, None

@@ -258,6 +258,22 @@ def test_language_model_with_many_waiting_contexts(spark, monkeypatch, waiting):
     scored(spark, asked, corpus, first=2, wider=2)
 
 
+def test_language_model_knows_every_word(spark):
+    letters = "abcdefghij"
+    name = lambda i: "".join(letters[int(c)] for c in f"{i:05d}")
+    corpus = [" ".join(name(i) for i in range(a, a + 1_000)) for a in range(0, 70_000, 1_000)]
+    frame = spark.createDataFrame([(t,) for t in [*corpus, *corpus[:65]]], "text string")
+    n, v = 70_000 + 65_000, 70_000  # the words from 65,000 on are the rarest
+    rare = [name(i) for i in (69_001, 69_002, 69_003)]
+    df = spark.createDataFrame([(1, " ".join(rare)), (2, "unseen " + rare[1]), (3, f"{rare[0]} unseen"), (4, f"unseen1 unseen2 {rare[2]}")], "doc_id long, text string")
+    got = {r.doc_id: (r.log_prob, r.mean_context) for r in ngramlm.score(df, frame).collect()}
+    once, never, after = np.log(2 / (n + v + 1)), np.log(1 / (n + v + 1)), np.log((1 + 2 / (n + v + 1)) / 2)
+    assert got[1] == pytest.approx(((once + 2 * after) / 3, 1.0), abs=2e-6)
+    assert got[2] == pytest.approx(((never + once) / 2, 0.0), abs=2e-6)
+    assert got[3] == pytest.approx(((once + np.log(1 / (n + v + 1) / 2)) / 2, 0.5), abs=2e-6)
+    assert got[4] == pytest.approx(((2 * never + once) / 3, 0.0), abs=2e-6)
+
+
 def test_language_model_of_nothing(spark, awkward):
     corpus = spark.createDataFrame([(None,)], "text string")
     out = ngramlm.score(awkward, corpus)

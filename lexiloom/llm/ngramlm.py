@@ -36,7 +36,7 @@ FIRST, WIDER, SMOOTH = 4, 8, 1.0
 #: Contexts that go on to the next search are known by hash; up to so many travel to the map tasks as they are, more of them as a bitmap of fixed
 #: size. It lets some other places through as well, which are known by their shorter match and were counted in the search before.
 WAITING, WAITING_BITS = 1_000_000, 27
-CHUNK_WORDS, CHUNK_DOCS = 1_200_000, 60_000
+CHUNK_WORDS, CHUNK_DOCS = 1_200_000, 60_000  # documents of a chunk have two-byte numbers
 SENT = "bucket int, kind int, chunk long, block binary, docs binary"
 SENT_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("block", pa.binary()), ("docs", pa.binary())])
 QUERY, CORPUS, HISTOGRAM = 0, 1, 2
@@ -146,7 +146,7 @@ def send(batches, model, kind: int, width: int, before: int, waiting):
         held.append((tokens(b, m["known"], m["ids"]), np.diff(b.ptr), cols[0] if cols else [None] * len(texts)))
         words += len(b.start)
         docs += len(texts)
-        if words > CHUNK_WORDS or docs > CHUNK_DOCS - 5_000:  # the same chunks whatever the width: later searches add to their documents
+        if words > CHUNK_WORDS or docs > CHUNK_DOCS - kernel.CHUNK_TEXTS:  # the same chunks whatever the width: later searches add to their documents
             yield from flush()
     if held:
         yield from flush()

@@ -183,6 +183,16 @@ def test_jaccard_join_in_small_blocks(spark, monkeypatch):
     assert {r.doc_id for r in jaccard.one_of_each(df).collect()} == {d for d, _ in texts if owner.get(d, d) == d}
 
 
+def test_many_short_texts_in_one_partition(spark):
+    df = spark.range(70_000).selectExpr("id AS doc_id", "concat('w', id div 2) AS text").coalesce(1)
+    pairs = [tuple(r) for r in jaccard.join(df).collect()]
+    assert sorted(pairs) == [(i, i + 1, 1.0) for i in range(0, 70_000, 2)]
+    out = ngramlm.score(df, spark.createDataFrame([("w34999 w34999",)], "text string")).collect()
+    assert len(out) == 70_000 and {r.n_words for r in out} == {1}
+    high = max(r.log_prob for r in out)
+    assert {r.doc_id for r in out if r.log_prob == high} == {69_998, 69_999}
+
+
 def test_candidate_lists_against_all_pairs():
     """Long lists are skipped by blocks without losing a pair."""
     import pyarrow as pa

@@ -216,6 +216,14 @@ def test_candidate_lists_against_all_pairs():
     assert want <= got and want
 
 
+def test_groups_of_a_long_chain(spark):
+    n = 300
+    ids = random.Random(5).sample(range(10 * n), n)  # each text is similar to the next only
+    texts = [(d, " ".join(f"w{k}" for k in range(10 * i, 10 * i + 32))) for i, d in enumerate(ids)]
+    out = {r.doc_id: r.owner for r in jaccard.groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert out == dict.fromkeys(ids, min(ids))
+
+
 def test_one_of_each_keeps_rows(awkward):
     out = jaccard.one_of_each(awkward)
     assert out.columns == awkward.columns

@@ -5,7 +5,7 @@ from collections import Counter
 import pyarrow.parquet as pq
 
 import corpus_pipeline
-from lexiloom.llm import quality, shard
+from lexiloom.llm import mix, quality, shard
 
 from . import brute
 
@@ -41,6 +41,15 @@ def test_stages(spark, small, tmp_path):
     assert Counter((r.doc_id, r.shard) for r in held[5]) == Counter(brute.shards([r.doc_id for r in held[4]], shard.SHARDS, shard.VNODES, shard.SLACK))
 
 
+def test_training_order_reaches_the_shards(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    corpus_pipeline.ordered_documents(spark, docs, small).write.parquet(f"{tmp_path}/ordered")
+    out = corpus_pipeline.sharded_documents(spark, spark.read.parquet(f"{tmp_path}/ordered"), small)
+    assert out.columns == [*docs.columns, "position", "shard"]
+    got = {r.doc_id: r.position for r in out.collect()}
+    assert got == {r.doc_id: r.position for r in mix.mix(docs, budget=None).collect()} and len(set(got.values())) > 0.9 * len(got)
+
+
 def test_run_gives_the_stages_rows(spark, small):
     out = corpus_pipeline.run(spark, small)
     assert out.columns[-1] == "shard" and out.count() > 0

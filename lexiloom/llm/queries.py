@@ -59,15 +59,20 @@ def queries() -> dict:
 
 
 JACCARD_SQL = """
-WITH words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 sets AS (
-  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
-                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
-grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
-pairs AS (
-  SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS c
-  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id AND a.n <= 2 * b.n AND b.n <= 2 * a.n GROUP BY ALL)
-SELECT x AS doc_a, y AS doc_b, round(c / (nx + ny - c), 6) AS jaccard FROM pairs WHERE 2 * c >= nx + ny - c
+  SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                                       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM words),
+entries AS MATERIALIZED (SELECT row_number() OVER () AS e, doc_id, s FROM sets WHERE len(s) > 0),
+grams AS (SELECT e, len(s) AS n, unnest(s) AS g FROM entries),
+pairs AS MATERIALIZED (
+  SELECT a.e AS x, b.e AS y FROM grams a JOIN grams b ON a.g = b.g AND a.e < b.e AND a.n <= 2 * b.n AND b.n <= 2 * a.n
+  GROUP BY a.e, b.e, a.n, b.n HAVING 2 * count(*) >= a.n + b.n - count(*)),
+ends AS MATERIALIZED (
+  SELECT p.doc_id AS d, q.doc_id AS o FROM (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs) t JOIN entries p ON p.e = t.x JOIN entries q ON q.e = t.y),
+links AS (SELECT d AS doc_id, count(*) AS links FROM ends GROUP BY d),
+reach AS (SELECT DISTINCT d, d AS o FROM ends UNION SELECT r.d, e.o FROM reach r JOIN ends e ON r.o = e.d)
+SELECT doc_id, min(o) AS class_id, any_value(links) AS links FROM links JOIN reach ON doc_id = d GROUP BY doc_id
 """
 
 

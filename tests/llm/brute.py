@@ -26,15 +26,23 @@ def grams(text, n=3):
 
 
 def similar(rows, threshold=0.5):
+    """Pairs of different (doc_id, set), as (doc_id, doc_id)."""
     sets = sorted({(d, frozenset(grams(t))) for d, t in rows if d is not None and t is not None}, key=lambda x: x[0])
-    out = set()
+    out = []
     for i, (a, s) in enumerate(sets):
         for b, t in sets[i + 1 :]:
-            if a != b and s and t and len(s & t) >= threshold * len(s | t):
-                out.add((a, b, round(len(s & t) / len(s | t), 6)))
+            if s and t and len(s & t) >= threshold * len(s | t):
+                out.append((a, b))
     return out
 
 
+def classes(rows, threshold=0.5):
+    """{(doc_id, class, links)} of documents that have a link."""
+    pairs = similar(rows, threshold)
+    links, owner = Counter(x for p in pairs for x in p), components(pairs)
+    return {(d, owner[d], n) for d, n in links.items()}
+
+
 def components(pairs):
     owner = {}
 
@@ -43,7 +51,7 @@ def components(pairs):
             x = owner[x]
         return x
 
-    for a, b, _ in pairs:
+    for a, b in pairs:
         a, b = sorted((find(a), find(b)))
         owner[b] = a
     return {x: find(x) for x in list(owner)}

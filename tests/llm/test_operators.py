@@ -157,11 +157,15 @@ def test_url_filter(spark):
 # ---- 5 ----
 
 
+def linked(df):
+    rows = [tuple(r) for r in jaccard.join(df).collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
 def test_jaccard_join(spark, awkward, docs, rows):
-    got = Counter(tuple(r) for r in jaccard.join(awkward).collect())
-    assert got == Counter(brute.similar(TEXTS))
-    got = Counter(tuple(r) for r in jaccard.join(docs).collect())
-    assert got == Counter(brute.similar([(r["doc_id"], r["text"]) for r in rows]))
+    assert linked(awkward) == brute.classes(TEXTS)
+    assert linked(docs) == brute.classes([(r["doc_id"], r["text"]) for r in rows])
     assert jaccard.join(none(awkward)).count() == 0
 
 
@@ -173,13 +177,16 @@ def test_jaccard_join_in_small_blocks(spark, monkeypatch):
         w = list(base[i % 6])
         for _ in range(rng.randint(0, 6)):
             w[rng.randrange(40)] = "z" + str(rng.randint(0, 99))
-        texts.append((i, " ".join(w[: rng.randint(25, 40)])))
+        texts.append((i % 140, " ".join(w[: rng.randint(25, 40)])))  # some documents have two texts
+    texts += [(200 + i, t) for i, (_, t) in enumerate(texts[:9] * 3)]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
-    want = Counter(brute.similar(texts))
-    assert Counter(tuple(r) for r in jaccard.join(df).collect()) == want and len(want) > 300
+    want = brute.classes(texts)
+    assert linked(df) == want and sum(x[2] for x in want) > 600
     monkeypatch.setattr(jaccard, "CELL", 8)
-    assert Counter(tuple(r) for r in jaccard.join(df).collect()) == want
-    owner = brute.components(want)
+    monkeypatch.setattr(jaccard, "LIST_BYTES", 500)
+    monkeypatch.setattr(jaccard, "BUCKET_BYTES", 1_000)
+    assert linked(df) == want
+    owner = {d: c for d, c, _ in want}
     assert {r.doc_id for r in jaccard.one_of_each(df).collect()} == {d for d, _ in texts if owner.get(d, d) == d}
 
 
@@ -187,15 +194,13 @@ def test_jaccard_join_of_a_table_ingested_twice(spark):
     same = "one two three four five six seven eight nine ten"
     texts = [(1, f"{same} a b c d e f g h i j"), (2, f"{same} k l m n o p q r s t"), (3, f"{same} a b c d e f g h i z"), (4, "alone in the world it is")]
     twice = spark.createDataFrame(spark.sparkContext.parallelize(texts * 2, 2), "doc_id long, text string")  # the same rows in two partitions
-    want = Counter(brute.similar(texts))
-    assert Counter(tuple(r) for r in jaccard.join(twice).collect()) == want and len(want) == 1
+    assert linked(twice) == brute.classes(texts) == {(1, 1, 1), (3, 1, 1)}
     assert sorted(r.doc_id for r in jaccard.one_of_each(twice).collect()) == [1, 1, 2, 2, 4, 4]
 
 
 def test_many_short_texts_in_one_partition(spark):
     df = spark.range(70_000).selectExpr("id AS doc_id", "concat('w', id div 2) AS text").coalesce(1)
-    pairs = [tuple(r) for r in jaccard.join(df).collect()]
-    assert sorted(pairs) == [(i, i + 1, 1.0) for i in range(0, 70_000, 2)]
+    assert linked(df) == {(i + k, i, 1) for i in range(0, 70_000, 2) for k in (0, 1)}
     out = ngramlm.score(df, spark.createDataFrame([("w34999 w34999",)], "text string")).collect()
     assert len(out) == 70_000 and {r.n_words for r in out} == {1}
     high = max(r.log_prob for r in out)
@@ -220,7 +225,7 @@ def test_groups_of_a_long_chain(spark):
     n = 300
     ids = random.Random(5).sample(range(10 * n), n)  # each text is similar to the next only
     texts = [(d, " ".join(f"w{k}" for k in range(10 * i, 10 * i + 32))) for i, d in enumerate(ids)]
-    out = {r.doc_id: r.owner for r in jaccard.groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    out = {r.doc_id: r.class_id for r in jaccard.join(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert out == dict.fromkeys(ids, min(ids))
 
 

@@ -1,48 +1,55 @@
 """LM scoring with unbounded n-grams: every word is predicted from its longest context that occurs in a reference corpus.
 
 p(word | context) = (c(context, word) + m * p1(word)) / (c(context) + m), the context being the longest run of preceding words
-that occurs anywhere in the corpus, p1 the add-one smoothed frequency of the word. A document's score is the mean log chance of its words.
-
-The suffix array of the corpus (of its contexts, read backwards) is sharded by content: a shard holds, sorted, all corpus
-places whose preceding words begin with given words, so a place of a document is searched in one shard, which has all that can match, and
-the work is linear in corpus and documents. Contexts of frequent words are spread over several shards by the word before, and
-counts for such a word alone come from a histogram that its shards share.
-
-Contexts are sent with FIRST words. A place whose context matches in all of them is searched again with WIDER times as many words, with the few corpus places that
-have the same FIRST words, and so on until no context matches in full; so contexts are unbounded, though almost all places need one search.
-
-The vocabulary is all words of the corpus, numbered by falling frequency, so one table of them (20 bytes a word) is held by the driver and the workers.
-A word that the corpus lacks has the add-one chance of one unseen word, and never matches in a context. Tokens have four bytes and travel by
-byte planes, of which the upper ones are nearly all zero.
+that occurs anywhere in the corpus (and is followed by a word there), p1 the add-one smoothed frequency of the word. A document's score is the mean
+log chance of its words.
+
+Steps
+1. texts become chunks of word numbers with a dictionary of their own; equal texts of a chunk are scored once (documents) or weigh more (corpus);
+2. the vocabulary is all words of the corpus, numbered by falling frequency. It stays a table: dictionaries are joined with it by word, and chunks are
+   renumbered. Only the number of words of each frequency is broadcast: frequencies fall with the numbers, so it gives the times of any word. At most
+   sqrt(2 * running words) different frequencies can exist;
+3. the suffix array of the corpus (of its contexts, read backwards) is sharded by content: a shard holds, sorted, all corpus places whose preceding
+   words begin with given words. A place of a document is sent to the one shard that has all that can match, and narrowed there word by word by binary search.
+   Contexts of frequent words are spread over several shards by the word before, and counts for such a word alone come from a histogram that its
+   shards share. A shard is read by several tasks where the documents are many for the corpus; each sums the counts of its documents;
+4. contexts are sent with ``first`` words. Places that match in all of them, on both sides, go back to their chunks by number, and are sent again with
+   ``wider`` times as many words, until none matches in full. So contexts are unbounded, and only waiting places are sent again.
+
+A task streams the documents' blocks past the sorted shard, so its memory is that of a shard (SHARD_WORDS at most on average) and a block.
 
 Defined results
 * null or empty text, or text without words: n_words 0, log_prob null. Null doc_id and repeated rows: row by row.
 * null or empty texts of the corpus add nothing; an empty corpus gives every word p1 = 1 / (vocabulary + 1), vocabulary being 0.
+* a word that the corpus lacks has the add-one chance of one unseen word, and never matches in a context.
 * equally frequent words are numbered by hash. Contexts don't cross documents. Only doc_id and text are read; empty input gives no rows.
 """
 
 from __future__ import annotations
 
+import gc
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
 from .common import cut, partitions, remote, slim
 
-FIRST, WIDER, SMOOTH = 4, 8, 1.0
-#: Contexts that go on to the next search are known by hash; up to so many travel to the map tasks as they are, more of them as a bitmap of fixed
-#: size. It lets some other places through as well, which are known by their shorter match and were counted in the search before.
-WAITING, WAITING_BITS = 1_000_000, 27
-CHUNK_WORDS, CHUNK_DOCS = 1_200_000, 60_000  # documents of a chunk have two-byte numbers
-SENT = "bucket int, kind int, chunk long, block binary, docs binary"
-SENT_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("block", pa.binary()), ("docs", pa.binary())])
-QUERY, CORPUS, HISTOGRAM = 0, 1, 2
-OUT = "chunk long, sums binary, docs binary, waits binary"
-OUT_ARROW = pa.schema([("chunk", pa.int64()), ("sums", pa.binary()), ("docs", pa.binary()), ("waits", pa.binary())])
-SUM = np.dtype([("i", np.uint16), ("n", np.uint32), ("lp", np.float64), ("m", np.float64)])
+FIRST, WIDER, SMOOTH = 3, 2, 1.0
+CHUNK_WORDS, CHUNK_DOCS, SHARD_WORDS = 1_200_000, 200_000, 2_000_000
+CORPUS, HISTOGRAM, QUERY = 0, 1, 2  # in this order within a shard
+UNIT = 1e7  # sums of log chances travel as whole numbers
+CHUNKS = "kind int, chunk long, n_texts long, tokens binary, docs binary, words array<long>, times array<long>"
+NUMBERED = "kind int, chunk long, tokens binary, docs binary"
+SENT = "slot int, kind int, chunk long, block binary"
+SENT_ARROW = pa.schema([("slot", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("block", pa.binary())])
+OUT = "kind int, chunk long, sums binary, waits binary"
+OUT_ARROW = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("sums", pa.binary()), ("waits", pa.binary())])
+LEAD = 3  # columns before a block's context: place, text (documents) or weight (corpus), next word
 _codec = None
 
 
@@ -53,313 +60,412 @@ def codec():
 
 
 def squeeze(x: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Numbers by byte planes, of which the upper ones are nearly all zero."""
+    raw = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes()
     return len(raw).to_bytes(4, "little") + codec().compress(raw, asbytes=True)
 
 
-def expand(x: bytes) -> np.ndarray:
+def expand(x: bytes, dtype=np.uint32) -> np.ndarray:
     raw = codec().decompress(x[4:], int.from_bytes(x[:4], "little"), asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-
-
-# ---- map side --------------------------------------------------------------------------------------
-
-
-def word_counts(batches):
-    """(word hash, times) of a partition."""
-    for texts, _ in kernel.chunks(batches, (), chars=8_000_000):
-        w, n = np.unique(kernel.read(texts).hashes(), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], ["w", "n"])
-
-
-def tokens(b: kernel.Batch, known: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Numbers of words from 1; that after the last is any word the corpus lacks."""
-    h, unknown = b.hashes(), len(known) + 1
-    if not len(known):
-        return np.full(len(h), unknown, np.uint32)
-    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    return np.where(known[at] == h, ids[at], unknown).astype(np.uint32)
-
-
-def context(t: np.ndarray, place: np.ndarray, doc_start: np.ndarray, k: int) -> np.ndarray:
-    """The k-th word before each place (k from 1), 0 where the document hasn't as many."""
-    return np.where(place - k >= doc_start, t[np.maximum(place - k, 0)], 0).astype(np.uint32)
-
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
-def context_hash(columns) -> np.ndarray:
-    h = np.zeros(len(columns[0]), np.uint64)
-    for c in columns:
-        h = h * kernel.BASE + c.astype(np.uint64) + np.uint64(1)
-    return kernel.mix(h)
 
+# ---- chunks and word numbers -----------------------------------------------------------------------
 
-def mark(bits: np.ndarray, hashes: np.ndarray) -> None:
-    at = hashes >> np.uint64(64 - WAITING_BITS)
-    np.bitwise_or.at(bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
-
-def waits(hashes: np.ndarray, waiting: np.ndarray) -> np.ndarray:
-    """Which hashes are in ``waiting``: hashes, or a bitmap of their leading bits."""
-    if waiting.dtype != np.uint8:
-        return np.isin(hashes, waiting)
-    at = hashes >> np.uint64(64 - WAITING_BITS)
-    return (waiting[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
-
-
-def hot_pairs(batches, model):
-    """(word, next word, times) for the words that are spread over shards."""
-    m = model.value
-    for texts, _ in kernel.chunks(batches, (), chars=8_000_000):
-        b = kernel.read(texts)
-        t = tokens(b, m["known"], m["ids"])
-        if len(t) < 2:
-            continue
-        same = np.ones(len(t), bool)
-        same[b.ptr[:-1][b.ptr[:-1] < len(t)]] = False
-        first = t[:-1].astype(np.uint64)
-        k = same[1:] & (m["spread"][first] > 1)
-        pair, n = np.unique(first[k] << np.uint64(32) | t[1:][k].astype(np.uint64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array((pair >> np.uint64(32)).astype(np.int32)), pa.array((pair & np.uint64(0xFFFFFFFF)).astype(np.int32)), pa.array(n.astype(np.int64))], ["w", "x", "n"])
-
-
-def bucket_of(c1: np.ndarray, c2: np.ndarray, spread: np.ndarray, buckets: int) -> np.ndarray:
-    base = kernel.mix(c1.astype(np.uint64) + np.uint64(77)) % np.uint64(buckets)
-    sub = kernel.mix(c2.astype(np.uint64) + np.uint64(991)) % spread[c1].astype(np.uint64)
-    return ((base + sub) % np.uint64(buckets)).astype(np.uint32)
-
-
-def send(batches, model, kind: int, width: int, before: int, waiting):
-    """Places of a partition with ``width`` words of context, packed by shard. ``before``: only those whose first ``before`` words are in ``waiting``, sharded by these words' hash."""
-    m = model.value
+def chunked(batches, kind: int):
+    """Distinct texts of a partition in chunks: numbers into the chunk's words, lengths of texts, and which documents have them."""
     names = ("doc_id",) if kind == QUERY else ()
     part, number = TaskContext.get().partitionId(), 0
-    held: list = []
-    words = docs = 0
+    hashes, lengths, owners, ids, seen, words = [], [], [], [], {}, 0
 
     def flush():
-        nonlocal held, words, docs, number
-        yield from _packed(held, m, kind, width, before, waiting, part << 24 | number)
-        held, words, docs, number = [], 0, 0, number + 1
-
-    for texts, cols in kernel.chunks(batches, names, chars=1_000_000):
-        b = kernel.read(texts)
-        held.append((tokens(b, m["known"], m["ids"]), np.diff(b.ptr), cols[0] if cols else [None] * len(texts)))
+        nonlocal hashes, lengths, owners, ids, seen, words, number
+        n, m = np.concatenate(lengths), len(owners)
+        known, local = np.unique(np.concatenate(hashes), return_inverse=True)
+        weight = np.bincount(np.array(owners, np.int64), minlength=len(n))
+        times = np.bincount(local, np.repeat(weight, n), len(known)).astype(np.int64) if kind == CORPUS else None
+        own = ids if kind == QUERY else [None] * m
+        docs = np.concatenate([[len(n), m], n, owners, [i is not None for i in own], [i or 0 for i in own]]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part << 24 | number], pa.int64()), pa.array([len(n)], pa.int64()), pa.array([squeeze(local.astype(np.uint32))], pa.binary()), pa.array([squeeze(docs)], pa.binary()), pa.array([known.view(np.int64)], pa.list_(pa.int64())), pa.array([times], pa.list_(pa.int64()))], ["kind", "chunk", "n_texts", "tokens", "docs", "words", "times"])
+        hashes, lengths, owners, ids, seen, words, number = [], [], [], [], {}, 0, number + 1
+
+    for texts, cols in kernel.chunks(batches, names):
+        new = []
+        for t in texts:
+            k = seen.get(t)
+            if k is None:
+                k = seen[t] = len(seen)
+                new.append(t)
+            owners.append(k)
+        ids += cols[0] if cols else []
+        b = kernel.read(new)
+        hashes.append(b.hashes())
+        lengths.append(np.diff(b.ptr))
         words += len(b.start)
-        docs += len(texts)
-        if words > CHUNK_WORDS or docs > CHUNK_DOCS - kernel.CHUNK_TEXTS:  # the same chunks whatever the width: later searches add to their documents
+        if words > CHUNK_WORDS or len(owners) > CHUNK_DOCS:
             yield from flush()
-    if held:
+    if owners:
         yield from flush()
 
 
-def _packed(held, m, kind, width, before, waiting, chunk):
-    t, lengths = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-    ids = [i for x in held for i in x[2]]
-    ptr = np.concatenate([[0], np.cumsum(lengths)])
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    place = np.arange(len(t))
-    start = ptr[doc]
-    if before:
-        cols = [context(t, place, start, k) for k in range(1, before + 1)]
-        h = context_hash(cols)
-        k = (cols[-1] > 0) & waits(h, waiting.value)  # has as many words before it
-        place, start, doc, h = place[k], start[k], doc[k], h[k]
-        bucket = (h % np.uint64(m["buckets"])).astype(np.uint32)
-    else:
-        bucket = bucket_of(context(t, place, start, 1), context(t, place, start, 2), m["spread"], m["buckets"])
-    docs = None
-    if kind == QUERY and not before:
-        docs = np.array([(0 if i is None else 1, i or 0, n) for i, n in zip(ids, lengths)], np.int64).reshape(-1, 3).tobytes()
-    doc = doc.astype(np.uint32)
-    step = max(1, CHUNK_WORDS * FIRST // width)
-    for a in range(0, max(len(place), 1), step):  # wide contexts in several pieces
-        z = a + step
-        yield from _blocks(t, place[a:z], start[a:z], doc[a:z], bucket[a:z], docs, m, kind, width, chunk)
-        docs = None
-
-
-def _blocks(t, place, start, doc, bucket, docs, m, kind, width, chunk):
-    order = np.argsort(bucket.astype(np.uint16) if m["buckets"] < 65536 else bucket, kind="stable")
-    place, start, doc, bucket = place[order], start[order], doc[order], bucket[order]
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-    columns = [context(t, place, start, k) for k in range(1, width + 1)]
-    blocks = []
-    for a, z in zip(cuts, np.append(cuts[1:], len(bucket))):
-        own = [doc[a:z]] if kind == QUERY else []
-        blocks.append(squeeze(np.concatenate([*own, t[place[a:z]], *(c[a:z] for c in columns)])))
-    where = bucket[cuts].astype(np.int32).tolist()
-    if docs is not None and not where:  # texts without a word still have a row
-        where, blocks = [0], [squeeze(np.zeros(0, np.uint32))]
-    if where:
-        n = len(where)
-        yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array(blocks, pa.binary()), pa.array([docs] + [None] * (n - 1), pa.binary())], schema=SENT_ARROW)
+class Model:
+    """Times of words by number from the broadcast frequencies, and the layout of the shards."""
+
+    def __init__(self, m: dict):
+        self.first, self.n, self.total, self.size, self.shards, self.readers = m["first"], m["n"], m["total"], m["size"], m["shards"], m["readers"]
+
+    def times(self, ids: np.ndarray) -> np.ndarray:
+        if not self.size:
+            return np.zeros(len(ids), np.int64)
+        at = np.maximum(np.searchsorted(self.first, ids, "right") - 1, 0)
+        return np.where((ids > 0) & (ids <= self.size), self.n[at], 0)
+
+    def single(self, ids: np.ndarray) -> np.ndarray:
+        return (self.times(ids) + 1.0) / (self.total + self.size + 1)
+
+    def spread(self, ids: np.ndarray) -> np.ndarray:
+        """Over how many shards the contexts that end in a word are spread."""
+        return np.clip(np.ceil(2 * self.shards * self.times(ids) / max(self.total, 1)), 1, self.shards).astype(np.uint64)
+
+    def home(self, ids: np.ndarray) -> np.ndarray:
+        return kernel.mix(ids.astype(np.uint64) + np.uint64(77)) % np.uint64(self.shards)
+
+
+def number(table: pa.Table, model) -> pa.Table:
+    """A chunk with the vocabulary's numbers, and each text's sum for the words before which the corpus has nothing to say."""
+    m = Model(model.value)
+    whole = next(i for i, x in enumerate(table.column("tokens").to_pylist()) if x is not None)
+    row = table.slice(whole, 1).to_pylist()[0]
+    pos, got = np.array(table.column("pos")), np.array(table.column("id"))
+    k = np.arange(len(pos)) != whole
+    ids = np.full(row["pos"], m.size + 1, np.uint32)
+    ids[pos[k].astype(np.int64)] = got[k].astype(np.uint32)
+    t, docs = ids[expand(row["tokens"])], expand(row["docs"], np.int64)
+    lengths = docs[2 : 2 + docs[0]]
+    text, start = places(lengths)
+    before = context(t, np.arange(len(t)), start, 1)
+    k = (before == 0) | (before > m.size)
+    base = np.bincount(text[k], np.round(-np.log(m.single(t[k])) * UNIT), len(lengths)).astype(np.int64)
+    return pa.table([[row["kind"]], [row["chunk"]], [squeeze(t)], [squeeze(np.concatenate([docs, base]))]], schema=pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("tokens", pa.binary()), ("docs", pa.binary())]))
+
+
+def places(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, where it begins) of every word."""
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    return text, (np.cumsum(lengths) - lengths)[text]
+
+
+def context(t: np.ndarray, place: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
+    """The k-th word before each place (k from 1), 0 where the text hasn't as many."""
+    return np.where(place - k >= start, t[np.maximum(place - k, 0)], 0).astype(np.uint32) if len(t) else np.zeros(0, np.uint32)
+
+
+# ---- sending places to shards ----------------------------------------------------------------------
+
+
+def _blocks(kind, chunk, t, docs, at, bucket, width, m):
+    """The places ``at`` with ``width`` words of context, packed by shard, as rows of SENT; the corpus goes to every reader of a shard."""
+    lengths, owners = docs[2 : 2 + docs[0]], docs[2 + docs[0] : 2 + docs[0] + docs[1]]
+    text, start = places(lengths)
+    second = text if kind == QUERY else np.bincount(owners, minlength=len(lengths))[text]
+    step = max(1_000, CHUNK_WORDS * 4 // width)
+    for a in range(0, len(at), step):  # wide contexts in several pieces
+        p, b = at[a : a + step], bucket[a : a + step]
+        order = np.argsort(b.astype(np.uint16) if m.shards < 65536 else b, kind="stable")
+        p, b = p[order], b[order]
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])), len(p))
+        columns = [t[p], *(context(t, p, start[p], k) for k in range(1, width + 1))]
+        blocks = []
+        for x, z in zip(cuts[:-1], cuts[1:]):
+            own = second[p[x:z]]
+            blocks.append(squeeze(np.concatenate([np.diff(p[x:z], prepend=0), np.diff(own, prepend=0) if kind == QUERY else own, *(c[x:z] for c in columns)]).astype(np.uint32)))
+        n, shard = len(blocks), b[cuts[:-1]].astype(np.int64)
+        for reader in range(m.readers) if kind == CORPUS else [int(kernel.mix(np.array([chunk], np.uint64))[0] % np.uint64(m.readers))]:
+            yield pa.RecordBatch.from_arrays([pa.array((shard * m.readers + reader).astype(np.int32)), pa.array([kind] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array(blocks, pa.binary())], schema=SENT_ARROW)
+
+
+def send(batches, model, width: int):
+    """All places that have a word of the corpus before them, by that word, or by the two before where it is frequent."""
+    m = Model(model.value)
+    for batch in batches:
+        for row in range(batch.num_rows):
+            kind, chunk, tokens, docs = (batch.column(c)[row].as_py() for c in range(4))
+            t, docs = expand(tokens), expand(docs, np.int64)
+            _, start = places(docs[2 : 2 + docs[0]])
+            at = np.arange(len(t))
+            c1 = context(t, at, start, 1)
+            at = np.flatnonzero((c1 > 0) & (c1 <= m.size))
+            c1, c2 = c1[at], context(t, at, start[at], 2)
+            sub = kernel.mix(c2.astype(np.uint64) + np.uint64(991)) % m.spread(c1)
+            yield from _blocks(kind, chunk, t, docs, at, (m.home(c1) + sub) % np.uint64(m.shards), width, m)
+
+
+def resend(table: pa.Table, model, width: int, before: int) -> pa.Table:
+    """The waiting places of a chunk with more words, by the words that matched already."""
+    m = Model(model.value)
+    waits = [np.cumsum(expand(x)) for x in table.column("waits").to_pylist() if x is not None]
+    tokens = table.column("tokens").to_pylist()
+    i = next((i for i, x in enumerate(tokens) if x is not None), None)
+    if not waits or i is None:
+        return SENT_ARROW.empty_table()
+    t, docs = expand(tokens[i]), expand(table.column("docs")[i].as_py(), np.int64)
+    _, start = places(docs[2 : 2 + docs[0]])
+    at = np.unique(np.concatenate(waits)).astype(np.int64)
+    h = np.zeros(len(at), np.uint64)
+    for k in range(1, before + 1):
+        h = h * kernel.BASE + context(t, at, start[at], k).astype(np.uint64) + np.uint64(1)
+    bucket = kernel.mix(h) % np.uint64(m.shards)
+    return pa.Table.from_batches(list(_blocks(table.column("kind")[i].as_py(), table.column("chunk")[i].as_py(), t, docs, at, bucket, width, m)), schema=SENT_ARROW)
 
 
-def spread_histogram(table: pa.Table, model) -> pa.Table:
-    """The followers of one word, sent to each of its shards."""
-    m = model.value
-    w = table.column("w")[0].as_py()
-    x, n = np.array(table.column("x")), np.array(table.column("n"))
-    block = squeeze(np.concatenate([[w], np.stack([x, n], 1).ravel()]).astype(np.uint32))
-    base = int(kernel.mix(np.array([w + 77], np.uint64))[0] % np.uint64(m["buckets"]))
-    k = int(m["spread"][w])
-    return pa.table([pa.array([(base + i) % m["buckets"] for i in range(min(k, m["buckets"]))], pa.int32()), pa.array([HISTOGRAM] * min(k, m["buckets"]), pa.int32()), pa.array([0] * min(k, m["buckets"]), pa.int64()), pa.array([block] * min(k, m["buckets"]), pa.binary()), pa.array([None] * min(k, m["buckets"]), pa.binary())], schema=SENT_ARROW)
+def hot_pairs(batches, model):
+    """(word, next word, times) in the corpus for the words that are spread over shards."""
+    m = Model(model.value)
+    for batch in batches:
+        for row in range(batch.num_rows):
+            t, docs = expand(batch.column(2)[row].as_py()), expand(batch.column(3)[row].as_py(), np.int64)
+            n = docs[0]
+            text, start = places(docs[2 : 2 + n])
+            weight = np.bincount(docs[2 + n : 2 + n + docs[1]], minlength=n)[text]
+            c1 = context(t, np.arange(len(t)), start, 1)
+            k = (c1 > 0) & (m.spread(c1) > 1)
+            pair, at = np.unique(c1[k].astype(np.uint64) << np.uint64(32) | t[k].astype(np.uint64), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array((pair >> np.uint64(32)).astype(np.int64)), pa.array((pair & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(np.bincount(at, weight[k], len(pair)).astype(np.int64))], ["w", "x", "n"])
 
 
-# ---- a shard ---------------------------------------------------------------------------------------
+def spread_histogram(table: pa.Table, model) -> pa.Table:
+    """Followers of one word (those of one part), sent to all readers of each of its shards."""
+    m = Model(model.value)
+    w = np.array(table.column("w"))[:1]
+    block = squeeze(np.concatenate([w, np.array(table.column("x")), np.array(table.column("n"))]).astype(np.uint64))
+    shards = (int(m.home(w)[0]) + np.arange(int(m.spread(w)[0]))) % m.shards
+    slots = (shards[:, None] * m.readers + np.arange(m.readers)).ravel().astype(np.int32)
+    return pa.table([pa.array(slots), pa.array([HISTOGRAM] * len(slots), pa.int32()), pa.array([0] * len(slots), pa.int64()), pa.array([block] * len(slots), pa.binary())], schema=SENT_ARROW)
 
 
-def _grid(blocks: list[bytes], lead: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lead columns, contexts as rows of big-endian tokens) of packed blocks, and the rows of each block."""
-    parts = [expand(x).reshape(lead + width, -1) for x in blocks]
-    every = np.concatenate(parts, axis=1) if parts else np.zeros((lead + width, 0), np.uint32)
-    return every[:lead], np.ascontiguousarray(every[lead:].T.astype(">u4")), np.array([p.shape[1] for p in parts], np.int64)
+# ---- a shard ---------------------------------------------------------------------------------------
 
 
-def search(q: np.ndarray, nxt: np.ndarray, c: np.ndarray, cnxt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(longest match, times of that context, times of it with the next word) for contexts q against all contexts c."""
-    n, width = q.shape
-    depth, times, hits = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    if not len(c) or not n:
+class Shard:
+    """The corpus places of a shard, sorted by the words before them (the last word first)."""
+
+    def __init__(self, blocks: list[tuple[int, bytes]], histograms: list[bytes], width: int):
+        self.width, self.chunks = width, [c for c, _ in blocks]
+        parts = [expand(x).reshape(LEAD + width, -1) for _, x in blocks]
+        self.rows = np.array([p.shape[1] for p in parts], np.int64)
+        self.places = [p[0] for p in parts]
+        every = np.concatenate([p[1:] for p in parts], axis=1) if parts else np.zeros((LEAD - 1 + width, 0), np.uint32)
+        del parts
+        self.order = np.lexsort(every[:1:-1])
+        self.weight = np.concatenate([[0], np.cumsum(every[0, self.order].astype(np.int64))])
+        self.next = every[1, self.order].astype(np.uint64)
+        self.runs, low = [], np.zeros(len(self.order), np.uint64)  # by depth: (key of each run of equal contexts, where it begins)
+        for d in range(width):
+            key = low << np.uint64(32) | every[2 + d, self.order].astype(np.uint64)
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            self.runs.append((key[at], np.append(at, len(key))))
+            low = np.repeat(at, np.diff(self.runs[-1][1])).astype(np.uint64)
+        self.follow: dict[int, tuple] = {}
+        self.full = np.zeros(len(self.runs[-1][0]), bool)  # runs that some document matches in all words
+        parts = [expand(x, np.uint64) for x in histograms]
+        key = np.concatenate([p[0] << np.uint64(32) | p[1 : 1 + len(p) // 2] for p in parts] or [np.zeros(0, np.uint64)])
+        n = np.concatenate([p[1 + len(p) // 2 :] for p in parts] or [np.zeros(0, np.uint64)]).astype(np.int64)
+        by = np.argsort(key)
+        self.pairs, self.pair_times = key[by], n[by]
+        self.hot, at = np.unique(self.pairs >> np.uint64(32), return_inverse=True)
+        self.hot_times = np.bincount(at, self.pair_times, len(self.hot)).astype(np.int64)
+
+    def followers(self, d: int):
+        """(run and next word, times) of contexts of d words."""
+        if d not in self.follow:
+            start = self.runs[d - 1][1]
+            key = np.repeat(start[:-1], np.diff(start)).astype(np.uint64) << np.uint64(32) | self.next
+            by = np.argsort(key)
+            key, total = key[by], np.concatenate([[0], np.cumsum(np.diff(self.weight)[by])])
+            at = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
+            self.follow[d] = key[at[:-1]], np.diff(total[at])
+        return self.follow[d]
+
+    def search(self, q: np.ndarray, nxt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(longest match, times of that context, times of it with the next word) for contexts q, a column for each."""
+        n = q.shape[1]
+        depth, run, low = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.uint64)
+        times, hits = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        on = np.arange(n)
+        for d, (keys, start) in enumerate(self.runs):
+            word = q[d, on].astype(np.uint64)
+            at, found = find(keys, low[on] << np.uint64(32) | word)
+            found &= word > 0
+            on, at = on[found], at[found]
+            depth[on], run[on], low[on] = d + 1, at, start[at]
+            if not len(on):
+                break
+        self.full[run[depth == self.width]] = True
+        for d in np.unique(depth[depth > 0]):
+            r = np.flatnonzero(depth == d)
+            start = self.runs[d - 1][1]
+            a, z = start[run[r]], start[run[r] + 1]
+            times[r] = self.weight[z] - self.weight[a]
+            keys, n = self.followers(d)
+            at, found = find(keys, a.astype(np.uint64) << np.uint64(32) | nxt[r].astype(np.uint64))
+            hits[r] = np.where(found, n[at], 0) if len(n) else 0
         return depth, times, hits
-    as_bytes = lambda x: np.ascontiguousarray(x).view(f"S{4 * width}").ravel()
-    order = np.lexsort((cnxt, as_bytes(c)))
-    c, cnxt = c[order], cnxt[order].astype(np.uint64)
-    keys = as_bytes(c)
-    real = (q != 0).sum(axis=1)
-    for a in range(0, n, 100_000):
-        part = q[a : a + 100_000]
-        at = np.searchsorted(keys, as_bytes(part))
-        best = np.zeros(len(part), np.int64)
-        for near in (np.minimum(at, len(c) - 1), np.maximum(at - 1, 0)):
-            same = np.concatenate([part == c[near], np.zeros((len(part), 1), bool)], axis=1)
-            best = np.maximum(best, same.argmin(axis=1))
-        depth[a : a + len(part)] = np.minimum(best, real[a : a + len(part)])
-    # runs of equal contexts at each depth: how far neighbours in the sorted order agree
-    agree = np.zeros(len(c), np.int64)
-    agree[1:] = np.concatenate([c[1:] == c[:-1], np.zeros((len(c) - 1, 1), bool)], axis=1).argmin(axis=1)
-    for d in np.unique(depth[depth > 0]):
-        group = np.cumsum(agree < d) - 1
-        starts = np.flatnonzero(agree < d)
-        size = np.diff(np.append(starts, len(c)))
-        follow = np.sort(group.astype(np.uint64) << np.uint64(32) | cnxt)
-        rows = np.flatnonzero(depth == d)
-        for a in range(0, len(rows), 100_000):
-            r = rows[a : a + 100_000]
-            low = q[r].copy()
-            low[:, d:] = 0
-            g = group[np.searchsorted(keys, as_bytes(low))]
-            times[r] = size[g]
-            f = g.astype(np.uint64) << np.uint64(32) | nxt[r].astype(np.uint64)
-            hits[r] = np.searchsorted(follow, f, "right") - np.searchsorted(follow, f, "left")
-    return depth, times, hits
-
-
-def shard(table: pa.Table, model, width: int, before: int) -> pa.Table:
-    """Sums of log chances by document for the places searched here, and hashes of the contexts that must be searched further."""
-    m = model.value
-    kind, chunk = np.array(table.column("kind")), np.array(table.column("chunk"))
-    blocks, docs = table.column("block").to_pylist(), table.column("docs").to_pylist()
-    pick = lambda k: [i for i in range(len(kind)) if kind[i] == k]
-    (cnxt,), c, _ = _grid([blocks[i] for i in pick(CORPUS)], 1, width)
-    mine = pick(QUERY)
-    (doc, nxt), q, rows = _grid([blocks[i] for i in mine], 2, width)
-    if not mine:
-        return pa.table([[], [], [], []], schema=OUT_ARROW)
-    depth, times, hits = search(q, nxt, c, cnxt)
-    hot = (depth <= 1) & (m["spread"][q[:, 0]] > 1) & (q[:, 0] > 0) & (before == 0)
-    if hot.any():  # the word alone as context: its other shards count too
-        follow, total = {}, {}
-        for i in pick(HISTOGRAM):
-            x = expand(blocks[i])
-            pairs = x[1:].reshape(-1, 2)
-            order = np.argsort(pairs[:, 0])
-            follow[int(x[0])], total[int(x[0])] = pairs[order], int(pairs[:, 1].sum())
-        for w in np.unique(q[hot, 0]):
-            r = np.flatnonzero(hot & (q[:, 0] == w))
-            if int(w) in follow:
-                f = follow[int(w)]
-                at = np.minimum(np.searchsorted(f[:, 0], nxt[r]), len(f) - 1)
-                depth[r], times[r], hits[r] = 1, total[int(w)], np.where(f[at, 0] == nxt[r], f[at, 1], 0)
-            else:
-                depth[r] = times[r] = hits[r] = 0
-    single = (m["times"][nxt] + 1.0) / (m["total"] + len(m["known"]) + 1)
-    lp = np.log((hits + SMOOTH * single) / (times + SMOOTH))
-    lp = np.where(depth > 0, lp, np.log(single))
-    on = depth == width  # matched in all words sent; there may be more before them
-    further = np.unique(context_hash([q[on, k].astype(np.uint32) for k in range(width)])) if on.any() else np.zeros(0, np.uint64)
-    counts = ~on & (depth >= before)  # a shorter match was counted in the search before, against all that can match
-    edge = np.concatenate([[0], np.cumsum(rows)])
-    out = []
-    for i, a, z in zip(mine, edge[:-1], edge[1:]):
-        k = counts[a:z]
-        d = doc[a:z][k].astype(np.int64)
-        u, back = np.unique(d, return_inverse=True)
-        s = np.zeros(len(u), SUM)
-        s["i"], s["n"], s["lp"], s["m"] = u, np.bincount(back, minlength=len(u)), np.bincount(back, lp[a:z][k], len(u)), np.bincount(back, depth[a:z][k], len(u))
-        out.append((int(chunk[i]), s.tobytes(), docs[i], None))
-    if len(further):
-        out.append((-1, None, None, further.tobytes()))
-    return pa.table([pa.array(x, f.type) for x, f in zip(zip(*out), OUT_ARROW)], schema=OUT_ARROW)
+
+    def alone(self, words: np.ndarray, nxt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for frequent words alone as contexts; their other shards count too."""
+        w, some = find(self.hot, words.astype(np.uint64))
+        at, found = find(self.pairs, words.astype(np.uint64) << np.uint64(32) | nxt.astype(np.uint64))
+        if not len(self.hot):
+            return np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        return some.astype(np.int64), np.where(some, self.hot_times[w], 0), np.where(found, self.pair_times[at], 0)
+
+    def waiting(self):
+        """(chunk, places) of the corpus that are in runs matched in full."""
+        start = self.runs[-1][1]
+        mask = np.zeros(len(self.order), bool)
+        mask[self.order] = np.repeat(self.full, np.diff(start))
+        edge = np.concatenate([[0], np.cumsum(self.rows)])
+        for chunk, p, a, z in zip(self.chunks, self.places, edge[:-1], edge[1:]):
+            if mask[a:z].any():
+                yield chunk, np.cumsum(p)[mask[a:z]]
+
+
+def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each of ``wanted`` stands in the sorted ``keys``, whether it is there)."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def steps(at: np.ndarray) -> bytes:
+    return squeeze(np.diff(at, prepend=0).astype(np.uint32))
+
+
+def shard(batches, model, width: int, before: int):
+    """Blocks sorted by slot, the corpus first: sums of log chances by text for the places searched, and the places to be searched further."""
+    m = Model(model.value)
+    slot, corpus, histograms, index, rows = None, [], [], None, []
+
+    def out():
+        nonlocal rows
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), OUT_ARROW)], schema=OUT_ARROW)
+        rows = []
+
+    def close():
+        if index is not None:
+            rows.extend((CORPUS, chunk, None, steps(at)) for chunk, at in index.waiting())
+        yield from out()
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            s, kind, chunk, block = (batch.column(c)[i].as_py() for c in range(4))
+            if s != slot:
+                yield from close()
+                slot, corpus, histograms, index = s, [], [], None
+            if kind != QUERY:
+                (corpus.append((chunk, block)) if kind == CORPUS else histograms.append(block))
+                continue
+            if index is None:
+                index = Shard(corpus, histograms, width)
+                corpus = histograms = None
+            grid = expand(block).reshape(LEAD + width, -1)
+            place, text, nxt, q = np.cumsum(grid[0].astype(np.int64)), np.cumsum(grid[1].astype(np.int64)), grid[2], grid[LEAD:]
+            depth, times, hits = index.search(q, nxt)
+            if not before:
+                hot = np.flatnonzero((depth <= 1) & (m.spread(q[0]) > 1))
+                depth[hot], times[hot], hits[hot] = index.alone(q[0, hot], nxt[hot])
+            on = depth == width  # there may be more words before them that match
+            single = m.single(nxt)
+            lp = np.round(-np.log((hits + SMOOTH * single) / (times + SMOOTH)) * UNIT)
+            lp[depth == 0] = np.round(-np.log(single[depth == 0]) * UNIT)
+            k = ~on
+            u, back = np.unique(text[k], return_inverse=True)
+            sums = [np.diff(u, prepend=0), np.bincount(back, lp[k], len(u)), np.bincount(back, depth[k], len(u))]
+            rows.append((QUERY, chunk, squeeze(np.concatenate(sums).astype(np.int64)), steps(place[on]) if on.any() else None))
+            if len(rows) >= 100:
+                yield from out()
+    yield from close()
 
 
 def finish(table: pa.Table) -> pa.Table:
     """The documents of a chunk from the sums of all shards."""
-    docs = np.frombuffer(next(d for d in table.column("docs").to_pylist() if d is not None), np.int64).reshape(-1, 3)
-    s = np.concatenate([np.frombuffer(x, SUM) for x in table.column("sums").to_pylist()])
-    n = len(docs)
-    words = np.bincount(s["i"], s["n"], n)
-    lp, m = np.bincount(s["i"], s["lp"], n), np.bincount(s["i"], s["m"], n)
-    some = np.maximum(words, 1)
-    return pa.table([pa.array(docs[:, 1], mask=docs[:, 0] == 0), pa.array(docs[:, 2].astype(np.int32)), pa.array(np.round(lp / some, 6), mask=words == 0), pa.array(np.round(m / some, 6), mask=words == 0)], ["doc_id", "n_words", "log_prob", "mean_context"])
+    docs = expand(next(d for d in table.column("docs").to_pylist() if d is not None), np.int64)
+    n, m = docs[:2]
+    lengths, owner, has, ids, base = np.split(docs[2:], np.cumsum([n, m, m, m]))
+    lp, depth = base.astype(float), np.zeros(n)
+    for x in table.column("sums").to_pylist():
+        if x is not None:
+            u, s, d = expand(x, np.int64).reshape(3, -1)
+            u = np.cumsum(u)
+            lp[u] += s
+            depth[u] += d
+    some = np.maximum(lengths, 1)
+    lp, depth, none = np.round(-lp / UNIT / some, 6)[owner] + 0.0, np.round(depth / some, 6)[owner], (lengths == 0)[owner]
+    return pa.table([pa.array(ids, mask=has == 0), pa.array(lengths[owner].astype(np.int32)), pa.array(lp, mask=none), pa.array(depth, mask=none)], ["doc_id", "n_words", "log_prob", "mean_context"])
 
 
 # ---- plan ------------------------------------------------------------------------------------------
 
 
-def vocabulary(corpus: DataFrame, buckets: int) -> dict:
-    """Numbers and chances of the corpus's words, and over how many shards each is spread. Distinct words go to the driver, whole."""
-    counts = corpus.mapInArrow(remote(__name__, "word_counts"), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
-    known, n = np.array(counts.column("w"), np.int64).view(np.uint64), np.array(counts.column("n"), np.int64)
-    order = np.argsort(known)
-    known, n = known[order], n[order]
-    ids = np.empty(len(known), np.uint32)
-    ids[np.argsort(-n, kind="stable")] = np.arange(1, len(known) + 1)
-    times = np.zeros(len(known) + 2, np.int64)  # none before a text's first word, and none of the words it lacks
-    times[ids] = n
-    total = int(n.sum())
-    spread = np.maximum(1, np.minimum(np.ceil(2 * buckets * times / max(total, 1)), buckets)).astype(np.uint32)
-    return {"known": known, "ids": ids, "spread": spread, "times": times.astype(np.uint32 if total < 1 << 32 else np.uint64), "total": total, "buckets": buckets}
+def release(spark: SparkSession) -> None:
+    """Ask the JVM to notice that shuffles and checkpoints are no longer referred to, so their files go before the next search."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def vocabulary(chunks: DataFrame) -> tuple[DataFrame, dict]:
+    """(w, id from 1 by falling frequency) of all words of the corpus, and the frequencies with the first number of each."""
+    counts = chunks.where(F.col("kind") == CORPUS).select(F.explode(F.arrays_zip("words", "times")).alias("x")).groupBy(F.col("x.words").alias("w")).agg(F.sum("x.times").alias("n"))
+    ranked = cut(counts.orderBy(F.desc("n"), "w"))
+    sizes = dict(map(tuple, ranked.groupBy(F.spark_partition_id().alias("p")).count().collect()))  # one number for each partition
+    before, total = {}, 0
+    for p in sorted(sizes):
+        before[p], total = total, total + sizes[p]
+    offset = F.element_at(F.array(*[F.lit(before.get(p, 0)).cast("long") for p in range(max(before, default=0) + 1)]), F.spark_partition_id() + 1)
+    ids = ranked.select("w", (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + offset + 1).cast("long").alias("id"))
+    frequencies = sorted(((r[0], r[1]) for r in ranked.groupBy("n").count().toLocalIterator()), reverse=True)
+    n, words = np.array([f[0] for f in frequencies], np.int64), np.array([f[1] for f in frequencies], np.int64)
+    return ids, {"n": n, "first": np.cumsum(words) - words + 1, "total": int((n * words).sum()), "size": int(words.sum())}
 
 
 def score(docs: DataFrame, corpus: DataFrame, first: int = FIRST, wider: int = WIDER) -> DataFrame:
     """doc_id, n_words, log_prob (mean, natural), mean_context (mean length of the contexts matched) for every row of ``docs``; ``corpus`` has a column text."""
     spark = docs.sparkSession
-    buckets = max(8, 6 * partitions(spark))  # what a shard holds when unpacked is about ten times its packed size
-    corpus = slim(corpus, "text").where("text is not null")
-    docs = slim(docs, "doc_id", "text")
-    model = spark.sparkContext.broadcast(vocabulary(corpus, buckets))
-    pairs = corpus.mapInArrow(remote(__name__, "hot_pairs", model=model), "w int, x int, n long").groupBy("w", "x").agg(F.sum("n").alias("n"))
-    extra = pairs.groupBy("w").applyInArrow(remote(__name__, "spread_histogram", model=model), SENT)
-    sums, width, before, waiting = None, first, 0, None
+    ask = lambda df, kind: df.mapInArrow(remote(__name__, "chunked", kind=kind), CHUNKS)
+    chunks = cut(ask(slim(docs, "doc_id", "text"), QUERY).unionByName(ask(slim(corpus, "text").where("text is not null"), CORPUS)))
+    ids, found = vocabulary(chunks)
+    # a task has about four partitions' share: larger blocks, and fewer sums of one text. Readers of a shard against copies of the corpus: where both cost the same.
+    tasks = max(8, partitions(spark) // 4)
+    texts = chunks.where(F.col("kind") == QUERY).agg(F.sum("n_texts")).first()[0] or 0
+    readers = max(1, min(tasks, round(math.sqrt(1.5 * texts * tasks / max(found["total"], 1)))))
+    shards = max(math.ceil(tasks / readers), math.ceil(found["total"] / SHARD_WORDS))
+    model = spark.sparkContext.broadcast(found | {"shards": shards, "readers": readers})
+    slots = shards * readers
+    words = chunks.select("kind", "chunk", F.posexplode("words").alias("pos", "w")).join(ids, "w").select("kind", "chunk", "pos", "id", F.lit(None).cast("binary").alias("tokens"), F.lit(None).cast("binary").alias("docs"))
+    whole = chunks.select("kind", "chunk", F.size("words").alias("pos"), F.lit(0).cast("long").alias("id"), "tokens", "docs")
+    numbered = cut(words.unionByName(whole).groupBy("kind", "chunk").applyInArrow(remote(__name__, "number", model=model), NUMBERED))
+    del chunks, ids, words, whole
+    release(spark)
+    pairs = numbered.where(F.col("kind") == CORPUS).mapInArrow(remote(__name__, "hot_pairs", model=model), "w long, x long, n long").groupBy("w", "x").agg(F.sum("n").alias("n"))
+    extra = pairs.groupBy("w", (F.col("x") % 64).alias("part")).applyInArrow(remote(__name__, "spread_histogram", model=model), SENT)
+    sent = numbered.mapInArrow(remote(__name__, "send", model=model, width=first), SENT).unionByName(extra)
+    sums, width, before = None, first, 0
     while True:
-        ask = lambda df, kind: df.mapInArrow(remote(__name__, "send", model=model, kind=kind, width=width, before=before, waiting=waiting), SENT)  # noqa: B023, E731
-        sent = ask(docs, QUERY).unionByName(ask(corpus, CORPUS))
-        if not before:
-            sent = sent.unionByName(extra)
-        found = cut(sent.groupBy("bucket").applyInArrow(remote(__name__, "shard", model=model, width=width, before=before), OUT))
-        part = found.where("sums is not null").select("chunk", "sums", "docs")
+        by_slot = sent.repartitionById(slots, F.col("slot")).sortWithinPartitions("slot", "kind")
+        out = cut(by_slot.mapInArrow(remote(__name__, "shard", model=model, width=width, before=before), OUT))
+        del sent, by_slot
+        release(spark)
+        part = out.where("sums is not null").select("chunk", "sums")
         sums = part if sums is None else sums.unionByName(part)
-        on = found.where("waits is not null").select("waits")
-        number = (on.agg(F.sum(F.octet_length("waits"))).first()[0] or 0) // 8
-        if not number:
+        waits = out.where("waits is not null").select("kind", "chunk", "waits", F.lit(None).cast("binary").alias("tokens"), F.lit(None).cast("binary").alias("docs"))
+        if waits.isEmpty():
             break
-        if number <= WAITING:
-            hashes = np.unique(np.concatenate([np.frombuffer(r[0], np.uint64) for r in on.collect()]))
-        else:
-            hashes = np.zeros(1 << WAITING_BITS - 3, np.uint8)
-            for r in on.toLocalIterator():
-                mark(hashes, np.frombuffer(r[0], np.uint64))
-        waiting = spark.sparkContext.broadcast(hashes)
         width, before = width * wider, width
-    return sums.groupBy("chunk").applyInArrow(remote(__name__, "finish"), "doc_id long, n_words int, log_prob double, mean_context double")
+        back = waits.unionByName(numbered.select("kind", "chunk", F.lit(None).cast("binary").alias("waits"), "tokens", "docs"))
+        sent = back.groupBy("kind", "chunk").applyInArrow(remote(__name__, "resend", model=model, width=width, before=before), SENT)
+    named = numbered.where(F.col("kind") == QUERY).select("chunk", "docs", F.lit(None).cast("binary").alias("sums"))
+    every = named.unionByName(sums.select("chunk", F.lit(None).cast("binary").alias("docs"), "sums"))
+    return every.groupBy("chunk").applyInArrow(remote(__name__, "finish"), "doc_id long, n_words int, log_prob double, mean_context double")

@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.llm import decontam, exact, jaccard, langid, mix, ngramlm, quality, queries, shard, tokens, urls
+from lexiloom.llm import decontam, exact, jaccard, kernel, langid, mix, ngramlm, quality, queries, shard, tokens, urls
 
 from . import brute
 
@@ -263,7 +263,7 @@ def test_sharding_moves_little(spark):
 @pytest.mark.parametrize("first", [1, 2, 8])
 def test_language_model(spark, awkward, first):
     corpus = ["the quick brown fox jumps over the lazy dog and runs away from the old barn", "the lazy dog runs", None, "", "a b c d e f g h i j k l m n o p q r s t", "the quick brown fox"]
-    asked = [*TEXTS[:7], *TEXTS[9:10], *TEXTS[11:], (20, "x b c d e f g h i j k l m n o p q z"), (21, "the dog the fox the")]
+    asked = [*TEXTS, (20, "x b c d e f g h i j k l m n o p q z"), (21, "the dog the fox the")]
     frame = spark.createDataFrame([(t,) for t in corpus], "text string")
     df = spark.createDataFrame(asked, "doc_id long, text string")
     got = ngramlm.score(df, frame, first=first, wider=2).collect()
@@ -278,16 +278,29 @@ def scored(spark, asked, corpus, **how):
     got = ngramlm.score(spark.createDataFrame(asked, "doc_id long, text string"), frame, **how).collect()
     want = [(d, *x) for (d, _), x in zip(asked, brute.language_model(corpus, [t for _, t in asked]))]
     assert len(got) == len(want)
-    for g, w in zip(sorted(map(tuple, got)), sorted(want)):
+    assert len(got) == len(want)
+    for g, w in zip(sorted(map(tuple, got)), sorted(want, key=lambda r: (r[0], r[1]))):
         assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], abs=2e-6)
 
 
-@pytest.mark.parametrize("waiting", [0, 1_000])
-def test_language_model_with_many_waiting_contexts(spark, monkeypatch, waiting):
-    monkeypatch.setattr(ngramlm, "WAITING", waiting)
-    corpus = ["a b c d e f g h i j k l m", "x c d e f q", "the quick brown fox jumps over the lazy dog", "brown fox jumps high", "over the lazy cat"]
-    asked = [(1, "a b c d e f g h i j k l m n"), (2, "quick brown fox jumps over the lazy cat the dog"), (3, "c d e f q d e f g"), (4, "the lazy fox jumps over the brown dog")]
-    scored(spark, asked, corpus, first=2, wider=2)
+@pytest.mark.parametrize("partitions", ["4", "60"])
+def test_language_model_with_hot_words_and_copies(spark, monkeypatch, partitions):
+    rng = random.Random(11)
+    monkeypatch.setattr(ngramlm, "CHUNK_WORDS", 200)
+    monkeypatch.setattr(kernel, "CHUNK_TEXTS", 7)
+    if partitions == "60":
+        monkeypatch.setattr(ngramlm, "SHARD_WORDS", 100)
+    text = lambda: " ".join(rng.choice(["a", "a", "a", "b", "b", "c", "d", "e", "f"]) for _ in range(rng.randint(0, 25)))
+    long = " ".join(f"w{i}" for i in range(70))
+    corpus = [text() for _ in range(40)] + ["a b a c"] * 15 + [None, "", long]
+    asked = [(i, text()) for i in range(40)] + [(100 + i, "a b a c a") for i in range(9)] + [(200, long), (201, "x " + long + " y"), (202, long[9:]), (100, "a b")]
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        scored(spark, asked, corpus)
+        scored(spark, asked, corpus, first=1, wider=3)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
 
 
 def test_language_model_knows_every_word(spark):

@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import gc
 import math
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,12 @@ from .common import cut, partitions, remote, slim
 FIRST, WIDER, SMOOTH = 3, 2, 1.0
 CHUNK_WORDS, CHUNK_DOCS, SHARD_WORDS = 1_200_000, 200_000, 2_000_000
 CORPUS, HISTOGRAM, QUERY = 0, 1, 2  # in this order within a shard
+PART_WORDS = 2_000_000  # words of dictionaries that are looked up by one task
 UNIT = 1e7  # sums of log chances travel as whole numbers
-CHUNKS = "kind int, chunk long, n_texts long, tokens binary, docs binary, words array<long>, times array<long>"
+CHUNKS = "kind int, chunk long, n_texts long, n_words long, tokens binary, docs binary, words binary, times binary"
+ASKED = "part int, kind int, chunk long, words binary, ids binary"
+ASKED_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("ids", pa.binary())])
+CHUNKS_ARROW = pa.schema([("kind", pa.int32()), *[(c, pa.int64()) for c in ("chunk", "n_texts", "n_words")], *[(c, pa.binary()) for c in ("tokens", "docs", "words", "times")]])
 NUMBERED = "kind int, chunk long, tokens binary, docs binary"
 SENT = "slot int, kind int, chunk long, block binary"
 SENT_ARROW = pa.schema([("slot", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("block", pa.binary())])
@@ -84,10 +89,10 @@ def chunked(batches, kind: int):
         n, m = np.concatenate(lengths), len(owners)
         known, local = np.unique(np.concatenate(hashes), return_inverse=True)
         weight = np.bincount(np.array(owners, np.int64), minlength=len(n))
-        times = np.bincount(local, np.repeat(weight, n), len(known)).astype(np.int64) if kind == CORPUS else None
+        times = squeeze(np.bincount(local, np.repeat(weight, n), len(known)).astype(np.int64)) if kind == CORPUS else None
         own = ids if kind == QUERY else [None] * m
         docs = np.concatenate([[len(n), m], n, owners, [i is not None for i in own], [i or 0 for i in own]]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part << 24 | number], pa.int64()), pa.array([len(n)], pa.int64()), pa.array([squeeze(local.astype(np.uint32))], pa.binary()), pa.array([squeeze(docs)], pa.binary()), pa.array([known.view(np.int64)], pa.list_(pa.int64())), pa.array([times], pa.list_(pa.int64()))], ["kind", "chunk", "n_texts", "tokens", "docs", "words", "times"])
+        yield pa.RecordBatch.from_pylist([{"kind": kind, "chunk": part << 24 | number, "n_texts": len(n), "n_words": len(known), "tokens": squeeze(local.astype(np.uint32)), "docs": squeeze(docs), "words": known.tobytes(), "times": times}], schema=CHUNKS_ARROW)
         hashes, lengths, owners, ids, seen, words, number = [], [], [], [], {}, 0, number + 1
 
     for texts, cols in kernel.chunks(batches, names):
@@ -132,15 +137,58 @@ class Model:
         return kernel.mix(ids.astype(np.uint64) + np.uint64(77)) % np.uint64(self.shards)
 
 
+def word_counts(batches):
+    """(word hash, times) of the corpus's chunks."""
+    for batch in batches:
+        for words, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words, np.int64)), pa.array(expand(times, np.int64))], ["w", "n"])
+
+
+def _parts(words: np.ndarray, parts: int) -> np.ndarray:
+    """Parts are ranges of hashes, so sorted words stay in order."""
+    return ((words >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def asked(batches, parts: int):
+    """Dictionaries, or the vocabulary itself (kind -1, with numbers), by part."""
+    for batch in batches:
+        if batch.schema.names[0] == "w":
+            w, ids = np.array(batch.column(0)).view(np.uint64), np.array(batch.column(1)).astype(np.uint32)
+            rows = [(-1, 0, w[by], ids[by])] if len(by := np.argsort(w)) else []
+        else:
+            rows = [(k, c, np.frombuffer(w, np.uint64), None) for k, c, w in zip(*(batch.column(i).to_pylist() for i in range(3)))]
+        for kind, chunk, w, ids in rows:
+            edge = np.searchsorted(_parts(w, parts), np.arange(parts + 1))
+            made = [(p, kind, chunk, w[a:z].tobytes(), None if ids is None else ids[a:z].tobytes()) for p, (a, z) in enumerate(zip(edge[:-1], edge[1:])) if z > a]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), ASKED_ARROW)], schema=ASKED_ARROW)
+
+
+def look_up(table: pa.Table) -> pa.Table:
+    """Numbers of the words of a part, 0 for words that the corpus lacks."""
+    kind, words = np.array(table.column("kind")), table.column("words").to_pylist()
+    own = np.flatnonzero(kind < 0)
+    known = np.concatenate([np.frombuffer(words[i], np.uint64) for i in own] or [np.zeros(0, np.uint64)])
+    ids = np.concatenate([np.frombuffer(table.column("ids")[int(i)].as_py(), np.uint32) for i in own] or [np.zeros(0, np.uint32)])
+    by = np.argsort(known)
+    known, ids = known[by], ids[by]
+    rest = np.flatnonzero(kind >= 0)
+    found = []
+    for i in rest:
+        at, some = find(known, np.frombuffer(words[i], np.uint64))
+        found.append(squeeze((ids[at] * some if len(ids) else np.zeros(len(at))).astype(np.uint32)))
+    take = pa.array(rest, pa.int64())
+    return pa.table([*(table.column(c).take(take) for c in ("part", "kind", "chunk")), pa.nulls(len(rest), pa.binary()), pa.array(found, pa.binary())], schema=ASKED_ARROW)
+
+
 def number(table: pa.Table, model) -> pa.Table:
     """A chunk with the vocabulary's numbers, and each text's sum for the words before which the corpus has nothing to say."""
     m = Model(model.value)
     whole = next(i for i, x in enumerate(table.column("tokens").to_pylist()) if x is not None)
     row = table.slice(whole, 1).to_pylist()[0]
-    pos, got = np.array(table.column("pos")), np.array(table.column("id"))
-    k = np.arange(len(pos)) != whole
-    ids = np.full(row["pos"], m.size + 1, np.uint32)
-    ids[pos[k].astype(np.int64)] = got[k].astype(np.uint32)
+    answers = sorted((p, x) for p, x in zip(table.column("part").to_pylist(), table.column("ids").to_pylist()) if x is not None)
+    ids = np.concatenate([expand(x) for _, x in answers] or [np.zeros(0, np.uint32)])
+    ids[ids == 0] = m.size + 1
     t, docs = ids[expand(row["tokens"])], expand(row["docs"], np.int64)
     lengths = docs[2 : 2 + docs[0]]
     text, start = places(lengths)
@@ -412,13 +460,16 @@ def finish(table: pa.Table) -> pa.Table:
 
 def release(spark: SparkSession) -> None:
     """Ask the JVM to notice that shuffles and checkpoints are no longer referred to, so their files go before the next search."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # what is found unused in one round holds what can be found in the next; the last job's plan is held until another one runs
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+        spark.range(1).collect()
 
 
 def vocabulary(chunks: DataFrame) -> tuple[DataFrame, dict]:
     """(w, id from 1 by falling frequency) of all words of the corpus, and the frequencies with the first number of each."""
-    counts = chunks.where(F.col("kind") == CORPUS).select(F.explode(F.arrays_zip("words", "times")).alias("x")).groupBy(F.col("x.words").alias("w")).agg(F.sum("x.times").alias("n"))
+    counts = chunks.where(F.col("kind") == CORPUS).select("words", "times").mapInArrow(remote(__name__, "word_counts"), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
     ranked = cut(counts.orderBy(F.desc("n"), "w"))
     sizes = dict(map(tuple, ranked.groupBy(F.spark_partition_id().alias("p")).count().collect()))  # one number for each partition
     before, total = {}, 0
@@ -439,15 +490,19 @@ def score(docs: DataFrame, corpus: DataFrame, first: int = FIRST, wider: int = W
     ids, found = vocabulary(chunks)
     # a task has about four partitions' share: larger blocks, and fewer sums of one text. Readers of a shard against copies of the corpus: where both cost the same.
     tasks = max(8, partitions(spark) // 4)
-    texts = chunks.where(F.col("kind") == QUERY).agg(F.sum("n_texts")).first()[0] or 0
+    texts, words = (x or 0 for x in chunks.agg(F.sum(F.when(F.col("kind") == QUERY, F.col("n_texts"))), F.sum("n_words")).first())
+    parts = max(8, math.ceil(words / PART_WORDS))
     readers = max(1, min(tasks, round(math.sqrt(1.5 * texts * tasks / max(found["total"], 1)))))
     shards = max(math.ceil(tasks / readers), math.ceil(found["total"] / SHARD_WORDS))
     model = spark.sparkContext.broadcast(found | {"shards": shards, "readers": readers})
     slots = shards * readers
-    words = chunks.select("kind", "chunk", F.posexplode("words").alias("pos", "w")).join(ids, "w").select("kind", "chunk", "pos", "id", F.lit(None).cast("binary").alias("tokens"), F.lit(None).cast("binary").alias("docs"))
-    whole = chunks.select("kind", "chunk", F.size("words").alias("pos"), F.lit(0).cast("long").alias("id"), "tokens", "docs")
-    numbered = cut(words.unionByName(whole).groupBy("kind", "chunk").applyInArrow(remote(__name__, "number", model=model), NUMBERED))
-    del chunks, ids, words, whole
+    look = lambda df: df.mapInArrow(remote(__name__, "asked", parts=parts), ASKED)
+    answers = look(chunks.select("kind", "chunk", "words")).unionByName(look(ids)).groupBy("part").applyInArrow(remote(__name__, "look_up"), ASKED)
+    null = F.lit(None).cast("binary")
+    answers = answers.select("kind", "chunk", "part", "ids", null.alias("tokens"), null.alias("docs"))
+    whole = chunks.select("kind", "chunk", F.lit(-1).alias("part"), null.alias("ids"), "tokens", "docs")
+    numbered = cut(answers.unionByName(whole).groupBy("kind", "chunk").applyInArrow(remote(__name__, "number", model=model), NUMBERED))
+    del chunks, ids, answers, whole
     release(spark)
     pairs = numbered.where(F.col("kind") == CORPUS).mapInArrow(remote(__name__, "hot_pairs", model=model), "w long, x long, n long").groupBy("w", "x").agg(F.sum("n").alias("n"))
     extra = pairs.groupBy("w", (F.col("x") % 64).alias("part")).applyInArrow(remote(__name__, "spread_histogram", model=model), SENT)
@@ -460,12 +515,12 @@ def score(docs: DataFrame, corpus: DataFrame, first: int = FIRST, wider: int = W
         release(spark)
         part = out.where("sums is not null").select("chunk", "sums")
         sums = part if sums is None else sums.unionByName(part)
-        waits = out.where("waits is not null").select("kind", "chunk", "waits", F.lit(None).cast("binary").alias("tokens"), F.lit(None).cast("binary").alias("docs"))
+        waits = out.where("waits is not null").select("kind", "chunk", "waits", null.alias("tokens"), null.alias("docs"))
         if waits.isEmpty():
             break
         width, before = width * wider, width
-        back = waits.unionByName(numbered.select("kind", "chunk", F.lit(None).cast("binary").alias("waits"), "tokens", "docs"))
+        back = waits.unionByName(numbered.select("kind", "chunk", null.alias("waits"), "tokens", "docs"))
         sent = back.groupBy("kind", "chunk").applyInArrow(remote(__name__, "resend", model=model, width=width, before=before), SENT)
-    named = numbered.where(F.col("kind") == QUERY).select("chunk", "docs", F.lit(None).cast("binary").alias("sums"))
-    every = named.unionByName(sums.select("chunk", F.lit(None).cast("binary").alias("docs"), "sums"))
+    named = numbered.where(F.col("kind") == QUERY).select("chunk", "docs", null.alias("sums"))
+    every = named.unionByName(sums.select("chunk", null.alias("docs"), "sums"))
     return every.groupBy("chunk").applyInArrow(remote(__name__, "finish"), "doc_id long, n_words int, log_prob double, mean_context double")

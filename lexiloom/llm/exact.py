@@ -1,8 +1,9 @@
 """Exact dedup with Patricia tries: every copy is given the smallest doc_id that has its text.
 
-Map tasks put their own texts into a trie and send each distinct text once, with the ids that have it. Rows are then
-partitioned by byte length and content hash, and each partition inserts full byte strings into one compressed radix trie,
-whose terminal nodes keep the ids, smallest first. Equality is that of whole byte strings; the hash only spreads them.
+Map tasks put their own texts into a trie and send each distinct text once for IDS ids that have it. Rows are then
+partitioned by byte length and content hash, and each partition inserts full byte strings, in the order of their smallest ids, into one compressed
+radix trie. So the first row of a text brings its owner, which is all that the terminal node keeps: the other ids are put out as they are met,
+and a text that a third of all rows have takes no more memory than any other. Equality is that of whole byte strings; the hash only spreads them.
 A trie above its memory spills its largest subtrees to the shared checkpoint folder and settles them one by one at the end.
 
 Defined results
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame
 
 from .common import checkpoint_root, remote, slim
 
-TRIE_BYTES = 128 << 20
-SENT = pa.schema([("length", pa.int64()), ("hash", pa.int64()), ("text", pa.binary()), ("ids", pa.list_(pa.int64()))])
+TRIE_BYTES, IDS, ID_BYTES = 128 << 20, 10_000, 48
+SENT = pa.schema([("length", pa.int64()), ("hash", pa.int64()), ("text", pa.binary()), ("ids", pa.list_(pa.int64())), ("first", pa.int64())])
 
 
 class Node:
@@ -45,10 +46,14 @@ def shared_prefix(a: bytes, at: int, b: bytes) -> int:
 
 
 class Trie:
-    """A compressed radix trie over byte strings; ``folder`` is where subtrees beyond ``limit`` bytes are written."""
+    """A compressed radix trie over byte strings; ``folder`` is where subtrees beyond ``limit`` bytes are written.
 
-    def __init__(self, folder: str | None = None, limit: int = TRIE_BYTES):
-        self.root, self.size, self.folder, self.limit = Node(b""), 0, folder, limit
+    ``keep``: terminal nodes keep all ids. Else they keep the first one, and the others go to ``out`` as (id, first id).
+    """
+
+    def __init__(self, folder: str | None = None, limit: int = TRIE_BYTES, keep: bool = False):
+        self.root, self.size, self.folder, self.limit, self.keep = Node(b""), 0, folder, limit, keep
+        self.out: list[tuple[int, int]] = []
         self.away: dict[bytes, list] = {}  # first bytes of subtrees that were spilled: [files, rows in memory, their size]
         self.depth = 1
 
@@ -59,14 +64,17 @@ class Trie:
         node, at = self.root, 0
         while True:
             if at == len(key):
-                node.ids = ids if node.ids is None else node.ids + ids
+                if node.ids is None:
+                    node.ids = []
+                self._add(node, ids)
                 return
             if node.kids is None:
                 node.kids = {}
             child = node.kids.get(key[at])
             if child is None:
-                node.kids[key[at]] = Node(key[at:], ids)
+                node.kids[key[at]] = child = Node(key[at:], [])
                 self.size += len(key) - at + 200
+                self._add(child, ids)
                 break
             if key.startswith(child.label, at):
                 at += len(child.label)
@@ -82,6 +90,15 @@ class Trie:
         if self.folder and self.size > max(self.limit, 2 * len(key) + 1_000):  # a text larger than the memory is no reason to spill
             self._spill()
 
+    def _add(self, node: Node, ids: list) -> None:
+        if self.keep:
+            node.ids += ids
+            self.size += ID_BYTES * len(ids)
+            return
+        if not node.ids:
+            node.ids, ids = ids[:1], ids[1:]
+        self.out += [(i, node.ids[0]) for i in ids if i != node.ids[0]]
+
     def walk(self, node: Node | None = None, prefix: bytes = b""):
         """(text, ids) of all terminal nodes."""
         todo = [(node or self.root, prefix)]
@@ -92,21 +109,19 @@ class Trie:
                 yield p, x.ids
             todo += [(k, p) for k in (x.kids or {}).values()]
 
-    def groups(self):
-        """The ids of each distinct text."""
-        todo = [self.root]
-        while todo:
-            x = todo.pop()
-            if x.ids is not None:
-                yield x.ids
-            todo += (x.kids or {}).values()
-        self.root, self.size = Node(b""), 0
+    def settled(self):
+        """What is left to put out, and then the same of each subtree that was spilled, in the order in which its rows came."""
+        yield self.out
+        self.root, self.size, self.out = Node(b""), 0, []
         for first, (files, rows, _) in self.away.items():
             sub = Trie(self.folder, self.limit)
             sub.depth = 2 * len(first) + 4  # doubled, so long common beginnings take few steps
-            for key, ids in (r for part in [*map(self._load, files), rows] for r in part):
-                sub.insert(key, ids)
-            yield from sub.groups()
+            for part in [*map(self._load, files), rows]:
+                for key, ids in part:
+                    sub.insert(key, ids)
+                yield sub.out
+                sub.out = []
+            yield from sub.settled()
 
     def _spill(self) -> None:
         """Write out subtrees, the largest first, until half of the memory is free. A subtree is all strings that begin with the same ``depth`` bytes."""
@@ -166,39 +181,43 @@ def own(batches, limit: int):
     import xxhash
 
     def send(trie):
-        rows = list(trie.walk())
+        rows = [(t, ids[k : k + IDS]) for t, i in trie.walk() for ids in (sorted(set(i)),) for k in range(0, len(ids), IDS)]
         for k in range(0, len(rows), 2000):
             part = rows[k : k + 2000]
-            yield pa.RecordBatch.from_arrays([pa.array([len(t) for t, _ in part]), pa.array([xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in part]), pa.array([t for t, _ in part], pa.binary()), pa.array([sorted(set(i)) for _, i in part], pa.list_(pa.int64()))], schema=SENT)
+            yield pa.RecordBatch.from_arrays([pa.array([len(t) for t, _ in part]), pa.array([xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in part]), pa.array([t for t, _ in part], pa.binary()), pa.array([i for _, i in part], pa.list_(pa.int64())), pa.array([i[0] for _, i in part], pa.int64())], schema=SENT)
 
-    trie = Trie()
+    trie = Trie(keep=True)
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
             trie.insert(t, [i])
             if trie.size > limit:
                 yield from send(trie)
-                trie = Trie()
+                trie = Trie(keep=True)
     yield from send(trie)
 
 
 def settle(batches, folder: str, limit: int):
-    """(doc_id, owner_id) for the copies of a partition."""
+    """(doc_id, owner_id) for the copies of a partition, whose rows stand in the order of their smallest ids."""
     trie = Trie(f"{folder}/trie-{uuid4().hex}", limit)
+
+    def put(pairs):
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], ["doc_id", "owner_id"])
+
     for b in batches:
-        for t, ids in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+        for t, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             trie.insert(t, ids)
-    docs, owners = [], []
-    for ids in trie.groups():
-        if len(ids) > 1:
-            first, *rest = sorted(set(ids))
-            docs += rest
-            owners += [first] * len(rest)
-    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(owners, pa.int64())], ["doc_id", "owner_id"])
+            if len(trie.out) > 50_000:
+                yield from put(trie.out)
+                trie.out = []
+    for pairs in trie.settled():
+        yield from put(pairs)
 
 
 def copies(docs: DataFrame, limit: int = TRIE_BYTES) -> DataFrame:
     """doc_id, owner_id: every document whose text another one of smaller doc_id has, and the smallest such."""
     folder = checkpoint_root(docs.sparkSession)
     source = slim(docs, "doc_id", "text").where("doc_id is not null and text is not null")
-    sent = source.mapInArrow(remote(__name__, "own", limit=limit // 2), "length long, hash long, text binary, ids array<long>")
-    return sent.repartition("length", "hash").mapInArrow(remote(__name__, "settle", folder=folder, limit=limit), "doc_id long, owner_id long")
+    sent = source.mapInArrow(remote(__name__, "own", limit=limit // 2), "length long, hash long, text binary, ids array<long>, first long")
+    placed = sent.repartition("length", "hash").sortWithinPartitions("first").select("text", "ids")
+    return placed.mapInArrow(remote(__name__, "settle", folder=folder, limit=limit), "doc_id long, owner_id long").distinct()  # repeated rows of several partitions

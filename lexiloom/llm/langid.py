@@ -5,7 +5,7 @@ being set apart by one boundary character. The models are fitted on at most SAMP
 
 Defined results
 * text that is null, empty or without letters: family and language are null, margin is 0.
-* rows with a null label are not learned from; no labelled row at all: every language is null; one language only: it is given to every text.
+* rows with a null label are not learned from; of a doc_id that has several texts the smallest is learned from; no labelled row at all: every language is null; one language only: it is given to every text.
 * ties of votes go to the larger sum of margins, then to the alphabetically first language. Null doc_id and repeated rows: row by row.
 * empty input: no rows. Only doc_id, text and (for fitting) the label are read.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import kernel
 from .common import remote, slim
 
-SAMPLE, DIMS, REG, STEPS = 4_000, 2_048, 1e-4, 150
+SAMPLE, DIMS, REG, STEPS, TEXTS = 4_000, 2_048, 1e-4, 150, 500
 FAMILIES = {
     "germanic": "af da de en fo fy is lb nds nl no nb nn sv yi", "romance": "an ast ca es fr gl it la lmo oc pms pt ro scn wa", "slavic": "be bg bs cs hr mk pl ru sh sk sl sr uk",
     "celtic": "br cy ga gd", "baltic": "lt lv", "uralic": "et fi hu", "turkic": "az ba kk ky tr tt ug uz", "indo-aryan": "as bn gu hi mr ne or pa si sa ur", "dravidian": "kn ml ta te",
@@ -57,31 +57,45 @@ def features(texts: list[str], dims: int = DIMS) -> np.ndarray:
 
 def svm(X: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights (bias last) of a linear SVM with squared hinge loss; accelerated gradient on the whole sample, classes balanced."""
-    Z = np.hstack([X, np.ones((len(X), 1), np.float32)])
-    c = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
-    w = v = np.zeros(Z.shape[1])
-    rate = 0.25
+    Z = np.hstack([X, np.ones((len(X), 1))]).astype(np.float32)
+    c = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
+    y = y.astype(np.float32)
+    w = v = np.zeros(Z.shape[1], np.float32)
+    rate = np.float32(0.25)
     for k in range(STEPS):
         slack = np.maximum(0, 1 - y * (Z @ v))
-        step = v - rate * (REG * v - 2 * Z.T @ (c * y * slack))
-        v = step + k / (k + 3) * (step - w)
+        step = v - rate * (np.float32(REG) * v - 2 * ((c * y * slack) @ Z))
+        v = step + np.float32(k / (k + 3)) * (step - w)
         w = step
-    return w
+    return w.astype(float)
 
 
-def fit(X: np.ndarray, labels: list[str]) -> dict:
+def models(labels: list[str]) -> list[tuple[str, str | None]]:
+    """Of each model what it tells apart: two languages of a family, or (f, None) a family from the others; one of two families is enough."""
     langs = sorted(set(labels))
-    family = {x: FAMILY.get(x, x) for x in langs}
-    kinds = sorted(set(family.values()))
-    of = np.array([family[x] for x in labels])
+    kinds = sorted({FAMILY.get(x, x) for x in langs})
+    return [(f, None) for f in (kinds[:1] if len(kinds) == 2 else kinds if len(kinds) > 2 else [])] + [(a, b) for a, b in combinations(langs, 2) if FAMILY.get(a, a) == FAMILY.get(b, b)]
+
+
+def fit_one(X: np.ndarray, labels: list[str], a: str, b: str | None) -> np.ndarray:
     lab = np.array(labels)
-    first = {f: svm(X, np.where(of == f, 1.0, -1.0)) for f in kinds} if len(kinds) > 1 else {}
-    pairs = {}
-    for a, b in combinations(langs, 2):
-        if family[a] == family[b]:
-            k = (lab == a) | (lab == b)
-            pairs[a, b] = svm(X[k], np.where(lab[k] == a, 1.0, -1.0))
-    return {"kinds": kinds, "first": first, "pairs": pairs, "langs": {f: [x for x in langs if family[x] == f] for f in kinds}}
+    if b is None:
+        return svm(X, np.where(np.array([FAMILY.get(x, x) for x in labels]) == a, 1.0, -1.0))
+    k = (lab == a) | (lab == b)
+    return svm(X[k], np.where(lab[k] == a, 1.0, -1.0))
+
+
+def assemble(labels: list[str], weights: dict) -> dict:
+    langs = sorted(set(labels))
+    kinds = sorted({FAMILY.get(x, x) for x in langs})
+    first = {a: w for (a, b), w in weights.items() if b is None}
+    if len(first) == 1:
+        first[kinds[1]] = -first[kinds[0]]
+    return {"kinds": kinds, "first": first, "pairs": {k: w for k, w in weights.items() if k[1] is not None}, "langs": {f: [x for x in langs if FAMILY.get(x, x) == f] for f in kinds}}
+
+
+def fit(X: np.ndarray, labels: list[str]) -> dict:
+    return assemble(labels, {(a, b): fit_one(X, labels, a, b) for a, b in models(labels)})
 
 
 def predict(model: dict, X: np.ndarray) -> tuple[list, list, np.ndarray]:
@@ -118,26 +132,47 @@ def predict(model: dict, X: np.ndarray) -> tuple[list, list, np.ndarray]:
     return families, languages, np.round(margin, 6)
 
 
+def slices(batches, columns: tuple[str, ...]):
+    """Few texts at a time: each has a dense row of features."""
+    for texts, cols in kernel.chunks(batches, columns):
+        for k in range(0, len(texts), TEXTS):
+            yield texts[k : k + TEXTS], [c[k : k + TEXTS] for c in cols]
+
+
 def sample_features(batches):
-    for texts, (ids, langs) in kernel.chunks(batches, ("doc_id", "lang")):
+    for texts, (ids, langs) in slices(batches, ("doc_id", "lang")):
         X = features(texts)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array([x.tobytes() for x in X], pa.binary())], ["doc_id", "lang", "x"])
 
 
+def fit_rows(batches, sample):
+    X, labels = sample.value
+    for batch in batches:
+        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fit_one(X, labels, x, y).tobytes() for x, y in zip(a, b)], pa.binary())], ["a", "b", "w"])
+
+
 def label_rows(batches, model):
-    for texts, (ids,) in kernel.chunks(batches, ("doc_id",)):
+    for texts, (ids,) in slices(batches, ("doc_id",)):
         f, lang, m = predict(model.value, features(texts))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(f, pa.string()), pa.array(lang, pa.string()), pa.array(m)], ["doc_id", "family", "language", "margin"])
 
 
 def train(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> dict:
-    """Fit on at most ``sample`` rows of ``docs`` that have a label; their features (8 kB each) go to the driver."""
+    """Fit on at most ``sample`` documents of ``docs`` that have a label; their features (8 kB each) go to the driver, and to the tasks that fit."""
+    spark = docs.sparkSession
     known = docs.select("doc_id", F.col("text"), F.col(f"`{label}`").cast("string").alias("lang")).where("doc_id is not null and text is not null and lang is not null")
     chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    ids = docs.sparkSession.createDataFrame([(r[0],) for r in chosen], "doc_id long")
-    rows = known.join(F.broadcast(ids), "doc_id").mapInArrow(remote(__name__, "sample_features"), "doc_id long, lang string, x binary").collect()
-    rows = sorted(((r[0], r[1], bytes(r[2])) for r in rows))[: 2 * sample]
-    return fit(np.stack([np.frombuffer(r[2], np.float32) for r in rows]) if rows else np.zeros((0, DIMS), np.float32), [r[1] for r in rows])
+    ids = spark.createDataFrame([(r[0],) for r in chosen], "doc_id long")
+    texts = known.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("d")).select("doc_id", "d.text", "d.lang")  # at most `sample` rows of 8 bytes
+    rows = sorted((r[0], r[1], bytes(r[2])) for r in texts.mapInArrow(remote(__name__, "sample_features"), "doc_id long, lang string, x binary").toLocalIterator())
+    X, labels = np.stack([np.frombuffer(r[2], np.float32) for r in rows]) if rows else np.zeros((0, DIMS), np.float32), [r[1] for r in rows]
+    wanted = models(labels)
+    if not wanted:
+        return assemble(labels, {})
+    shared = spark.sparkContext.broadcast((X, labels))
+    fitted = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(wanted)], "i int, a string, b string").repartitionById(len(wanted), F.col("i")).select("a", "b").mapInArrow(remote(__name__, "fit_rows", sample=shared), "a string, b string, w binary").collect()
+    return assemble(labels, {(r[0], r[1]): np.frombuffer(bytes(r[2]), float) for r in fitted})
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:

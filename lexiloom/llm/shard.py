@@ -1,7 +1,7 @@
 """Sharding by consistent hashing with bounded loads.
 
-A ring of 2**16 places holds ``vnodes`` points for each shard. A key's arc is the first point at or
-after its own place. No shard takes more than ``ceil((1 + slack) * rows / shards)`` rows; a key whose
+A ring of 2**64 places holds ``vnodes`` points for each shard, so points don't collide however many shards there are. A key's arc is
+the first point at or after its own place: a table by the first bits of the place leads to the points that are left to compare. No shard takes more than ``ceil((1 + slack) * rows / shards)`` rows; a key whose
 shard is full goes on clockwise to the next point of a shard that is not.
 
 Keys are inserted in a fixed order that needs no arrival time: by (slice, arc, order hash, key),
@@ -22,24 +22,36 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PLACES, SLICE_BITS = 1 << 16, 5
+SLICE_BITS = 5
 SHARDS, VNODES, SLACK = 16, 64, 0.05
 CUT = 1 << 23
 
 
-def place_of(key: str) -> int:
-    return int(hashlib.md5(key.encode()).hexdigest()[:4], 16)
+def place_of(key: str) -> str:
+    """A place as 16 hexadecimal digits, which sort as numbers do."""
+    return hashlib.md5(key.encode()).hexdigest()[:16]
 
 
-def ring(shards: int, vnodes: int) -> list[tuple[int, int]]:
-    """(place, shard) of all points, one for a place, in ring order. A shard's points do not depend on the number of shards."""
-    at: dict[int, int] = {}
+def ring(shards: int, vnodes: int) -> list[tuple[str, int]]:
+    """(place, shard) of all points in ring order. A shard's points do not depend on the number of shards."""
+    at: dict[str, int] = {}
     for s in range(shards):
         for v in range(vnodes):
             at.setdefault(place_of(f"shard-{s}-{v}"), s)
     return sorted(at.items())
 
 
+def arc_of(digest: Column, places: list[str]) -> Column:
+    """The first of ``places`` that is not before a digest's place, going round: a lookup by leading digits, then as many comparisons as the fullest part of the table has points."""
+    digits = max(2, math.ceil((math.log2(len(places)) + 2) / 4))
+    first = [bisect_left(places, f"{x:0{digits}x}") for x in range(16**digits + 1)]
+    most = max(b - a for a, b in zip(first, first[1:]))
+    low = _at(first[:-1], _hex(digest, 1, digits), 4)
+    text = F.lit("".join(places) + "g" * 16 * most)  # 'g' is after all digits
+    place = F.substring(digest, 1, 16)
+    return sum(((F.substring(text, (low + k) * 16 + 1, F.lit(16)) < place).cast("int") for k in range(most)), low) % len(places)
+
+
 def simulate(cells: dict[tuple[int, int], int], points: list[tuple[int, int]], shards: int, capacity: int) -> dict[tuple[int, int], list[tuple[int, int]]]:
     """For each (slice, arc) cell the (rows, shard) runs in which its rows are placed, in the order of insertion."""
     load = [0] * shards
@@ -80,11 +92,9 @@ def _hex(c: Column, first: int, digits: int) -> Column:
 def assign(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, vnodes: int = VNODES, slack: float = SLACK, column: str = "shard") -> DataFrame:
     """``docs`` with the integer column ``column``, every other column kept (one of that name is replaced)."""
     points = ring(shards, vnodes)
-    places = [p for p, _ in points]
-    arcs = [bisect_left(places, x) % len(points) for x in range(PLACES)]
     digest = F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))
-    place, order = _hex(digest, 1, 4), _hex(digest, 5, 6)
-    arc = _at(arcs, place, 2)
+    order = _hex(digest, 17, 6)
+    arc = arc_of(digest, [p for p, _ in points])
     cell = F.struct(F.shiftright(order, 24 - SLICE_BITS).alias("slice"), arc.alias("arc"))
     counts = docs.select(cell.alias("c")).groupBy("c.slice", "c.arc").count()
     cells = {(r[0], r[1]): r[2] for r in counts.toLocalIterator()}

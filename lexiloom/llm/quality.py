@@ -10,7 +10,8 @@ A document is kept where its quality is at least ``cut`` and its toxicity less t
 
 Defined results
 * null or empty text: scored like any text, by features that are all zero.
-* labels: several rows for a doc_id count as one (greatest quality, greatest toxic); null labels are left out; no labels at all,
+* labels: several rows for a doc_id count as one (greatest quality, greatest toxic); of a doc_id that has several texts the smallest is
+  learned from; null labels are left out; no labels at all,
   or one class only: that model gives its class's share for every document (good 1.0, toxic 0.0 if there is no label), so all are kept.
 * null doc_id, repeated rows: scored row by row. Empty documents: no rows. Other columns never meet the model's own.
 """
@@ -26,7 +27,7 @@ from . import kernel
 from .common import cut as checkpointed
 from .common import remote, slim
 
-SAMPLE, LEXICON, MIN_DOCS = 8_000, 40_000, 4
+SAMPLE, MIN_DOCS = 8_000, 4
 STEMS = (6, 8)
 BINS, PAIR_BINS, PAIRS, ROUNDS, PAIR_ROUNDS, RATE = 64, 16, 8, 150, 60, 0.1
 CUT, TOXIC_CUT = 0.5, 0.5
@@ -249,20 +250,20 @@ def kept_rows(batches, model):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = CUT, toxic_cut: float = TOXIC_CUT) -> dict:
-    """Fit on at most ``sample`` labelled documents. Everything that reaches the driver is bounded by ``sample`` and LEXICON."""
+    """Fit on at most ``sample`` labelled documents: what reaches the driver is their features, and the words that MIN_DOCS of them have."""
     spark = docs.sparkSession
     some = slim(labels, "doc_id", "quality", "toxic").where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
     chosen = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = spark.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, quality int, toxic int")
     texts = slim(docs, "doc_id", "text").where("text is not null").join(F.broadcast(rows), "doc_id")  # at most `sample` rows of 16 bytes
-    texts = checkpointed(texts.dropDuplicates(["doc_id"]))
+    texts = checkpointed(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic")))
     half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))
     counts = texts.where(half == 0).mapInArrow(remote(__name__, "word_counts"), "w long, n long, good long, toxic long").groupBy("w").agg(*[F.sum(c).alias(c) for c in ("n", "good", "toxic")])
     n, good, toxic = texts.where(half == 0).agg(F.count("*"), F.sum("quality"), F.sum("toxic")).first()
     g, t = (good or 0, toxic or 0)
     odds = lambda c, k: F.log((F.col(c) + 0.5) / (k + 1.0)) - F.log((F.col("n") - F.col(c) + 0.5) / (n - k + 1.0))
     words = counts.where(F.col("n") >= MIN_DOCS).select("w", F.round(odds("good", g), 6).alias("g"), F.round(odds("toxic", t), 6).alias("t"))
-    top = sorted(tuple(r) for r in words.orderBy(F.greatest(F.abs("g"), F.abs("t")).desc(), "w").limit(LEXICON).collect())
+    top = sorted(tuple(r) for r in words.toLocalIterator())
     known = np.array([r[0] for r in top], np.int64).view(np.uint64)
     order = np.argsort(known)
     lexicon = (known[order], np.array([r[1] for r in top], float)[order], np.array([r[2] for r in top], float)[order])

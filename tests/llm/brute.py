@@ -1,5 +1,6 @@
 """Slow and plain versions of the operators, for comparison."""
 
+import bisect
 import hashlib
 import math
 import unicodedata
@@ -78,7 +79,7 @@ def leaks(text, items, window=8, least=4):
 
 def shards(keys, shards, vnodes, slack):
     """Keys one by one, each to the first point clockwise whose shard isn't full."""
-    place = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:4], 16)
+    place = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:16], 16)
     ring = {}
     for s in range(shards):
         for v in range(vnodes):
@@ -89,8 +90,7 @@ def shards(keys, shards, vnodes, slack):
 
     def order(k):
         h = hashlib.md5(("" if k is None else str(k)).encode()).hexdigest()
-        arc = next((i for i, p in enumerate(points) if p >= int(h[:4], 16)), 0)
-        return int(h[4:10], 16) >> 19, arc, int(h[4:10], 16), (k is not None, k or 0)
+        return int(h[16:22], 16) >> 19, bisect.bisect_left(points, int(h[:16], 16)) % len(points), int(h[16:22], 16), (k is not None, k or 0)
 
     for k in sorted(keys, key=order):
         i = order(k)[1]
@@ -128,8 +128,8 @@ def language_model(corpus, docs, smooth=1.0):
     return out
 
 
-def positions(rows, start=1.0, end=0.5, steps=256, bins=64, seed=17):
-    """{doc_id: position} with every document placed once: rows are (doc_id, source, text)."""
+def positions(rows, start=1.0, end=0.5, steps=256, bins=64, seed=17, budget=None, schedules=None):
+    """(doc_id, epoch, position), document by document: rows are (doc_id, source, text)."""
     n = lambda t: max(1, (len((t or "").encode()) + 3) // 4)
     key = lambda d: int(hashlib.md5(f"{seed}:{'' if d is None else d}".encode()).hexdigest()[:8], 16)
     tokens = Counter()
@@ -139,21 +139,34 @@ def positions(rows, start=1.0, end=0.5, steps=256, bins=64, seed=17):
         hist[s][int(key(d) / (2**32 / bins))] += n(t)
     total = sum(tokens.values())
     grid = np.linspace(0, 1, steps + 1)
-    weights = {s: (v / total) ** (start + (end - start) * grid) for s, v in tokens.items()}
+    weights = {s: np.array([piecewise(schedules[s], t) for t in grid]) if s in (schedules or {}) else (v / total) ** (start + (end - start) * grid) for s, v in tokens.items()}
     every = sum(weights.values())
-    out = []
+    out, wanted = [], {}
     for d, s, _ in rows:
-        rate = weights[s] / every
-        area = np.concatenate([[0], np.cumsum((rate[1:] + rate[:-1]) / 2)])
-        want = area / area[-1] * tokens[s]
-        x = key(d) / (2**32 / bins)
+        if s not in wanted:
+            rate = np.array([w / e if e > 0 else 0.0 for w, e in zip(weights[s], every)])
+            area = np.concatenate([[0], np.cumsum((rate[1:] + rate[:-1]) / 2)]) / steps
+            wanted[s] = area / area[-1] * tokens[s] if budget is None else area * (total if budget == "all" else budget)
+        want, x = wanted[s], key(d) / (2**32 / bins)
         b = min(int(x), bins - 1)
         before = np.concatenate([[0], np.cumsum(hist[s])])
-        asked = before[b] + (before[b + 1] - before[b]) * (x - b)
-        out.append((d, float(np.interp(asked, want, grid))))
+        asked, epoch = before[b] + (before[b + 1] - before[b]) * (x - b), 0
+        while (budget is None and epoch == 0) or (budget is not None and asked < want[-1]):
+            out.append((d, epoch, float(np.interp(asked, want, grid))))
+            asked, epoch = asked + tokens[s], epoch + 1
     return out
 
 
+def piecewise(points, t):
+    points = sorted(points)
+    if t <= points[0][0]:
+        return points[0][1]
+    for (a, x), (b, y) in zip(points, points[1:]):
+        if t <= b:
+            return x + (y - x) * (t - a) / (b - a)
+    return points[-1][1]
+
+
 def url_score(url, good, bad, order=5, smooth=2.0):
     def chance(corpus):
         c, f = Counter(), Counter()
@@ -172,3 +185,31 @@ def url_score(url, good, bad, order=5, smooth=2.0):
         return total
 
     return (chance(good) - chance(bad)) / max(1, len(url))
+
+
+def language(text, model, dims=2048):
+    """(family, language, margin) of one text by the weights of a fitted model, its n-grams counted one by one."""
+    counts = np.zeros(dims)
+    w = words(text)
+    line = "".join(x + " " for x in w)
+    for i in range(len(line)):
+        h = 0
+        for k in range(min(3, len(line) - i)):
+            h = (h * 0x01000193 + ord(line[i + k]) * 0x9E3779B1 + k + 1) % 2**32
+            counts[((h ^ h >> 15) * 0x85EBCA6B % 2**32 >> 21) % dims] += 1
+    if not w:
+        return None, None, 0.0
+    x = np.sqrt(counts)
+    x = np.append(x / np.linalg.norm(x), 1.0)
+    scores = sorted(((float(x @ model["first"][f]), f) for f in model["kinds"]), reverse=True)
+    (top, family), lead = scores[0], scores[0][0] - scores[1][0]
+    votes, sums = Counter(), Counter()
+    for a in model["langs"][family]:
+        for b in model["langs"][family]:
+            if (a, b) in model["pairs"]:
+                m = float(x @ model["pairs"][a, b])
+                votes[a if m >= 0 else b] += 1
+                sums[a] += m
+                sums[b] -= m
+    best = min(model["langs"][family], key=lambda z: (-votes[z], -sums[z], z))
+    return family, best, min(lead, sums[best])

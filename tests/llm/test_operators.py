@@ -1,5 +1,6 @@
 """Each operator against a plain version, over awkward rows and a small table."""
 
+import bisect
 import random
 from collections import Counter
 
@@ -75,11 +76,40 @@ def test_decontamination(spark, awkward, docs, rows, small):
     assert decontam.drop_leaked(awkward, none(bench)).count() == len(TEXTS)
 
 
-def test_decontamination_in_groups(awkward, spark, monkeypatch):
-    bench = spark.createDataFrame([(1, PASSAGE), (3, "over the lazy dog")], "item_id long, text string")
-    whole = sorted(map(tuple, decontam.find_leaks(awkward, bench).collect()), key=str)
-    monkeypatch.setattr(decontam, "AUTOMATON_CHARS", 10)
-    assert sorted(map(tuple, decontam.find_leaks(awkward, bench).collect()), key=str) == whole
+def test_decontamination_spans_of_any_windows(spark):
+    """Every run that lies over an item in ``window`` words or more, none shorter, with offsets of the original text."""
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
+    items = [(i, text(rng.randint(1, 30))) for i in range(40)]
+    docs = [(i, text(20) + " " + ", ".join(items[rng.randrange(40)][1].upper().split()[rng.randint(0, 3) :]) + " " + text(rng.randint(0, 9))) for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for window in (3, 5, 8):
+        want = set()
+        for d, t in docs:
+            w = brute.words(t)
+            for i, x in items:
+                v = brute.words(x)
+                if len(v) < 4:
+                    continue
+                for shift in range(-len(v), len(w) + 1):
+                    same = [0 <= j - shift < len(v) and v[j - shift] == w[j] for j in range(len(w))] + [False]
+                    first = 0
+                    for j, ok in enumerate(same):
+                        if not ok:
+                            if j - first >= min(window, len(v)):
+                                want.add((d, i, first, j - first))
+                            first = j + 1
+        at = {d: [k for k in range(len(t)) if t[k].isalnum()] for d, t in docs}  # words of one letter
+        got = [(r.doc_id, r.item_id, at[r.doc_id].index(r.start_char), r.n_words) for r in decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench, window=window).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_decontamination_with_a_large_benchmark(spark, awkward):
+    """Half a million words of test items are still one automaton and one scan."""
+    items = [(i, " ".join(f"w{i * 100 + k}" for k in range(100))) for i in range(5_000)] + [(9_999, PASSAGE)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + " ".join(items[17][1].split()[40:49]) + " y"), (2, items[17][1][:30]), (7, PASSAGE)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.n_words) for r in decontam.find_leaks(docs, bench).collect()} == {(1, 17, 9), (7, 9_999, len(PASSAGE.split()))}
     assert decontam.drop_leaked(awkward, bench).where("doc_id = 7").isEmpty()
 
 
@@ -102,6 +132,34 @@ def test_language_id(spark, awkward):
     assert {r.language for r in one.collect()} == {"fr", None}
 
 
+def test_language_id_against_a_plain_vote(spark):
+    """Features, families, votes and margins recomputed text by text."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    docs = spark.createDataFrame([(d, t, x) for i, (d, t, x) in enumerate(rows)] + [(5_000, "", "en"), (5_001, "x", "fr")], "doc_id long, text string, lang string")
+    model = langid.train(docs, sample=120)
+    assert set(model["pairs"]) == {("de", "en"), ("es", "fr")} and set(model["first"]) == {"germanic", "romance"}
+    for r, (_, text, _) in zip(sorted(langid.identify(docs, model).where("doc_id < 5000").collect(), key=lambda r: r.doc_id), sorted(rows)):
+        assert (r.family, r.language) == pytest.approx(brute.language(text, model)[:2])
+        assert r.margin == pytest.approx(brute.language(text, model)[2], abs=1e-4)
+    X = np.random.default_rng(1).normal(size=(200, 5)).astype(np.float32)
+    w = langid.svm(X, np.where(X[:, 0] + 0.5 * X[:, 1] > 0.1, 1.0, -1.0))
+    assert (np.sign(X @ w[:5] + w[5]) == np.sign(X[:, 0] + 0.5 * X[:, 1] - 0.1)).mean() > 0.97
+
+
+def test_language_id_of_many_short_texts_in_bounded_memory(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    model = langid.fit(langid.features(["the old house and", "das alte Haus und", "la vieille maison et"]), ["en", "de", "fr"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20_000)), pa.array(["", "ein Wort"] * 10_000)], ["doc_id", "text"])
+    tracemalloc.start()
+    n = sum(b.num_rows for b in langid.label_rows(iter([batch]), type("Shared", (), {"value": model})))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 20_000 and peak < 300e6
+
+
 # ---- 3 ----
 
 
@@ -143,9 +201,14 @@ def test_url_filter(spark):
     assert got.where("accepted = ok").count() >= 0.97 * got.count()
     few = urls.fit(*(sorted({urls.normal(u) for u in x[:8]}) for x in (good, bad)))
     g, b = (sorted({urls.normal(u) for u in x[:8]}) for x in (good, bad))
-    learn = lambda x: [u for i, u in enumerate(x) if i % 5]
+    learn = lambda x: urls.parted(x)[1]
     for u in ("news1.example.org/world", "win-big7.example.biz/bonus", "é"):
         assert urls.score([u], few["models"])[0] == pytest.approx(brute.url_score(u, learn(g), learn(b)), abs=1e-5)
+    known = {r.u: r.good for r in spark.createDataFrame([(u,) for u in ("http://m.free-bets.org/a", "https://adsense.org/ads", "x.ads-track.com", "spam", "http://spammer.net", "http://win.casino2.com:80/")], "u string").withColumn("good", urls.seeded(F.col("u"))).collect()}
+    assert [u for u, g in known.items() if not g] == ["http://m.free-bets.org/a", "x.ads-track.com", "spam", "http://win.casino2.com:80/"] and known["https://adsense.org/ads"]
+    whole = "http://a.example.org/" + "x/" * 400_000
+    long = urls.filter_urls(spark.createDataFrame([(1, whole), (2, whole[:-1])], "page_id long, url string"), model).collect()
+    assert len(long) == 2 and long[0].url_score == long[1].url_score and abs(long[0].url_score) < 20
     odd = spark.createDataFrame([(1, None, None), (None, "", None), (3, "http://x.org/", "p"), (3, "http://x.org/", "p")], "page_id long, url string, accepted string")
     out = urls.filter_urls(odd, model).collect()
     assert [(r.url_score, r.accepted) for r in out if r.page_id != 3] == [(None, True)] * 2 and len(out) == 4
@@ -251,6 +314,18 @@ def test_sharding(spark, awkward):
     assert shard.assign(none(awkward)).count() == 0
 
 
+def test_ring_of_more_points_than_two_bytes_count(spark):
+    """No point is lost, and the lookup finds each key's arc."""
+    points = shard.ring(40, 2_000)
+    assert len(points) == 80_000
+    df = spark.range(20_000).select(F.md5(F.col("id").cast("string")).alias("d"))
+    places = [p for p, _ in points]
+    for r in df.select("d", shard.arc_of(F.col("d"), places).alias("arc")).collect():
+        assert r.arc == bisect.bisect_left(places, r.d[:16]) % len(places)
+    out = [(r.doc_id, r.shard) for r in shard.assign(spark.range(3_000).withColumnRenamed("id", "doc_id"), shards=300).collect()]
+    assert sorted(out) == sorted(brute.shards([d for d, _ in out], 300, shard.VNODES, shard.SLACK))
+
+
 def test_sharding_moves_little(spark):
     df = spark.createDataFrame([(i,) for i in range(4_000)], "doc_id long")
     a, b = (dict(map(tuple, shard.assign(df, shards=k, slack=0.25).collect())) for k in (10, 11))
@@ -329,14 +404,37 @@ def test_language_model_of_nothing(spark, awkward):
 # ---- 8 ----
 
 
-def test_mixing_once(spark, awkward, docs, rows):
-    got = {r.doc_id: r.position for r in mix.mix(docs, budget=None).collect()}
-    want = dict(brute.positions([(r["doc_id"], r["source"], r["text"]) for r in rows]))
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in got)
-    out = mix.mix(awkward, budget=None)
+def placed(got, want):
+    got, want = sorted(got, key=str), sorted(want, key=str)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert all(g[2] == pytest.approx(w[2], abs=1e-6) for g, w in zip(got, want))
+
+
+@pytest.mark.parametrize("budget", [None, "all", 5_000])
+def test_mixing(spark, awkward, docs, rows, budget):
+    """The registered mode is that of all tokens."""
+    plain = [(r["doc_id"], r["source"], r["text"]) for r in rows]
+    out = mix.mix(docs, budget=budget).collect()
+    assert [r.position for r in out] == sorted(r.position for r in out)
+    placed([(r.doc_id, r.epoch, r.position) for r in out], brute.positions(plain, budget=budget))
+    odd = [(r.doc_id, r.source, r.text) for r in awkward.collect()]
+    out = mix.mix(awkward, budget=budget)
     assert out.columns == [*[c for c in awkward.columns if c not in mix.ADDED], "epoch", "position"]
-    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(TEXTS)
-    assert none(mix.mix(awkward)).count() == 0 == mix.mix(none(awkward)).count()
+    placed([(r.doc_id, r.epoch, r.position) for r in out.collect()], brute.positions(odd, budget=budget))
+    if budget is None:
+        assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(TEXTS)
+    assert mix.mix(none(awkward), budget=budget).count() == 0
+
+
+def test_mixing_of_very_many_sources(spark, monkeypatch):
+    """Histograms are as fine for ten thousand sources as for two, and the table is then joined by source."""
+    df = spark.range(12_000).selectExpr("id AS doc_id", "CASE WHEN id < 3000 THEN 'hot' ELSE concat('s', id % 4500) END AS source", "repeat('word ', cast(id % 50 AS int)) AS text")
+    plain = [tuple(r) for r in df.select("doc_id", "source", "text").collect()]
+    plan = {"hot": [(0, 0.5), (0.5, 0.1), (1, 0.4)]}
+    want = brute.positions(plain, budget="all", schedules=plan)
+    placed([(r.doc_id, r.epoch, r.position) for r in mix.mix(df, schedules=plan).collect()], want)
+    monkeypatch.setattr(mix, "BROADCAST_ROWS", 100)
+    placed([(r.doc_id, r.epoch, r.position) for r in mix.mix(df, schedules=plan, sort=False).collect()], want)
 
 
 def test_mixing_meets_its_weights(spark):
@@ -378,6 +476,47 @@ def test_quality_classifier(spark, awkward):
     assert quality.score(none(awkward), model).count() == 0
 
 
+def test_fit_against_a_plain_version():
+    """One round over two features and one pair, every split tried by brute force."""
+    rng = np.random.default_rng(7)
+    X = rng.integers(0, 6, (300, 2)).astype(float)
+    y = (rng.random(300) < np.where((X[:, 0] > 2) ^ (X[:, 1] > 3), 0.9, 0.2)).astype(float)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality, "ROUNDS", 1)
+        m.setattr(quality, "PAIR_ROUNDS", 1)
+        m.setattr(quality, "PAIRS", 1)
+        model = quality.fit(X, y)
+    score = np.full(300, np.log(y.mean() / (1 - y.mean())))
+    value = lambda rows, g, h: g[rows].sum() / (h[rows].sum() + 1)
+    gain = lambda rows, g, h: g[rows].sum() ** 2 / (h[rows].sum() + 1)
+    for j in range(2):
+        bins = np.searchsorted(model["edges"][j], X[:, j], "right")
+        q = 1 / (1 + np.exp(-score))
+        g, h = y - q, q * (1 - q)
+        parts = [(0, len(model["tables"][j]))]
+        at = lambda a, z: (bins >= a) & (bins < z)  # noqa: B023, E731
+        for _ in range(2):
+            tries = [(gain(at(a, c), g, h) + gain(at(c, z), g, h) - gain(at(a, z), g, h), a, c, z) for a, z in parts for c in range(a + 1, z)]
+            best = max(tries, key=lambda t: t[0])
+            if best[0] > 1e-9:
+                parts.remove((best[1], best[3]))
+                parts += [(best[1], best[2]), (best[2], best[3])]
+        step = np.zeros(len(model["tables"][j]))
+        for a, z in parts:
+            step[a:z] = quality.RATE * value(at(a, z), g, h)
+        assert model["tables"][j] == pytest.approx(step)
+        score += step[bins]
+    c = [np.minimum(np.searchsorted(model["edges"][j], X[:, j], "right") * quality.PAIR_BINS // len(model["tables"][j]), quality.PAIR_BINS - 1) for j in range(2)]
+    q = 1 / (1 + np.exp(-score))
+    g, h = y - q, q * (1 - q)
+    quarters = lambda i, j: [((c[0] < i) == u) & ((c[1] < j) == w) for u in (True, False) for w in (True, False)]
+    i, j = max(((i, j) for i in range(1, quality.PAIR_BINS) for j in range(1, quality.PAIR_BINS)), key=lambda t: round(sum(gain(r, g, h) for r in quarters(*t)), 9))
+    want = np.zeros(300)
+    for r in quarters(i, j):
+        want[r] = quality.RATE * value(r, g, h) if r.any() else 0.0
+    assert model["pair_tables"][0][c[0], c[1]] == pytest.approx(want)
+
+
 def test_quality_without_labels(spark, awkward):
     none_at_all = quality.train(awkward, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert quality.keep_good(awkward, none_at_all).count() == len(TEXTS)
@@ -401,12 +540,24 @@ def test_exact_dedup(spark, awkward, docs, rows, limit):
 def test_trie_spills_by_subtree(tmp_path):
     rng = random.Random(1)
     keys = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 40))) for _ in range(3_000)]
+    first = {}
+    want = sorted((i, first[k]) for i, k in enumerate(keys) if first.setdefault(k, i) != i)
     for limit in (1 << 20, 20_000):
         trie = exact.Trie(f"file://{tmp_path}/t{limit}", limit)
         for i, k in enumerate(keys):
             trie.insert(k, [i])
-        by = {}
-        for i, k in enumerate(keys):
-            by.setdefault(k, []).append(i)
-        assert sorted(sorted(g) for g in trie.groups()) == sorted(by.values())
-        assert bool(trie.away) == (limit == 20_000)
+        spilled = bool(trie.away)
+        assert sorted(p for pairs in trie.settled() for p in pairs) == want and want
+        assert spilled == (limit == 20_000)
+
+
+def test_a_text_of_very_many_copies(spark):
+    """Linear in the copies, and a terminal node keeps one id whatever their number."""
+    n = 400_000
+    df = spark.range(n).selectExpr("id + 7 AS doc_id", "'the same text' AS text").coalesce(1)
+    out = exact.copies(df.unionByName(df), 1 << 20)  # twice the same rows
+    assert out.count() == n - 1 == out.where("owner_id = 7").select("doc_id").distinct().count()
+    trie = exact.Trie(limit=1_000)
+    for k in range(0, 10_000, 100):
+        trie.insert(b"x", list(range(k, k + 100)))
+    assert trie.size < 1_000 and trie.root.kids[ord("x")].ids == [0]

@@ -1,5 +1,6 @@
 """The pipeline: its contract, and every stage against a plain version on the stage's own input."""
 
+import pathlib
 from collections import Counter
 
 import pyarrow.parquet as pq
@@ -50,7 +51,34 @@ def test_training_order_reaches_the_shards(spark, small, tmp_path):
     assert got == {r.doc_id: r.position for r in mix.mix(docs, budget=None).collect()} and len(set(got.values())) > 0.9 * len(got)
 
 
+def through(spark, docs, sf_dir, folder):
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
+
+
+def test_awkward_rows_go_through(spark, small, tmp_path):
+    """Nulls, empty texts, repeated rows, columns named like those that are added, and a table without rows."""
+    some = spark.read.parquet(f"{small}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", None, 0), (7_000_001, None, "fr", "s", None), (7_000_002, "", None, "s", 0)], some.schema)
+    docs = some.unionByName(odd).unionByName(some.limit(10)).selectExpr("*", "'x' AS shard", "'y' AS position", "'z' AS epoch", "doc_id AS owner", "'k' AS `a b`")
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    out = through(spark, docs, small, tmp_path / "rows")
+    assert out.columns == [*[c for c in docs.columns if c not in ("shard", "position", "epoch")], "position", "shard"]
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    every = Counter((r.doc_id, r.text) for r in docs.collect())
+    assert got and all(got[k] == every[k] for k in got)  # repeated rows stay or go together
+    model = quality.train(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    if quality.scores([""], model)[2][0]:
+        assert {(None, None), (None, ""), (7_000_001, None)} <= set(got)
+    assert through(spark, docs.where("1 = 0"), small, tmp_path / "none").count() == 0
+
+
 def test_run_gives_the_stages_rows(spark, small):
     out = corpus_pipeline.run(spark, small)
     assert out.columns[-1] == "shard" and out.count() > 0
     assert {r.shard for r in out.select("shard").distinct().collect()} <= set(range(shard.SHARDS))
+    folder = spark.conf.get("spark.checkpoint.dir")
+    tables = [p.name for p in pathlib.Path(folder).glob("*/pipeline-*/*")]
+    assert tables == ["3-source_mixing"]

@@ -1,11 +1,12 @@
 """Language identification and quality scoring: stopword shares, groups of languages that are easily confused, the agreement rule, gates.
 
-The stopword table has fixed size and travels as a local relation of 22,614 rows, so its joins are broadcast joins. All but the
-scoring of languages without spaces is relational.
+The stopword table has fixed size (22,614 words) and is loaded once by each worker. Scores are worked out within the row, in one Arrow pass: no word
+leaves its text, nothing is shuffled, and repeated rows of a doc_id don't add up.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 import pandas as pd
@@ -26,68 +27,87 @@ def longest_stopword(spark) -> DataFrame:
     return tables.frame(spark, "stopwords").groupBy("lang").agg(F.max(F.length("word")).alias("max_len"))
 
 
-def character_scores(lang: pd.Series, doc: pd.Series) -> pd.Series:
-    words = tables.stopwords()
-    longest = {x: max(map(len, words[x])) for x in CHARACTER_LANGS if x in words}
+_longest: dict[str, int] = {}
+
+
+def _character_score(lang: str, doc: str) -> float | None:
+    words = tables.stopwords()[lang]
+    if lang not in _longest:
+        _longest[lang] = max(map(len, words))
+    chars = "".join(doc.lower().split())
+    i = hits = units = 0
+    while i < len(chars):
+        take = next((k for k in range(min(_longest[lang], len(chars) - i), 0, -1) if chars[i : i + k] in words), 0)
+        hits += take > 0
+        units += 1
+        i += take or 1
+    return CJK_SCALE * hits / units if units else None
+
+
+def own_scores(lang: pd.Series, doc: pd.Series) -> pd.Series:
+    table = tables.stopwords()
 
     def one(lang, doc):
-        if doc is None or lang not in longest:
+        if lang not in table:
+            return None if doc is None and lang not in CHARACTER_LANGS else 1.0
+        if doc is None:
             return None
-        chars = "".join(doc.lower().split())
-        i = hits = units = 0
-        while i < len(chars):
-            take = next((k for k in range(min(longest[lang], len(chars) - i), 0, -1) if chars[i : i + k] in words[lang]), 0)
-            hits += take > 0
-            units += 1
-            i += take or 1
-        return CJK_SCALE * hits / units if units else None
+        if lang in CHARACTER_LANGS:
+            return _character_score(lang, doc)
+        words, known = doc.lower().split(), table[lang]
+        return sum(w in known for w in words) / len(words) if words else None
 
     return pd.Series([one(x, d) for x, d in zip(lang, doc)], dtype="float64")
 
 
-_character_score = arrow.udf(__name__, "character_scores", "double")
+_by_word: dict[str, dict[str, tuple[str, ...]]] = {}
 
 
-def stopword_hits(docs: DataFrame, text_column: str = "text", lang: str | None = None) -> DataFrame:
-    """(doc_id, lang, hits, units) of every language in the stopword table, or of the document's own language where ``lang`` names its column.
+def best_scores(languages: pd.Series, doc: pd.Series) -> pd.DataFrame:
+    """``languages``: the same on all rows, names apart by spaces; none for all that have a list."""
+    key = languages.iloc[0] if len(languages) else ""
+    if key not in _by_word:
+        of: dict[str, list[str]] = {}
+        for lang in key.split() or sorted(tables.stopwords()):
+            for w in tables.stopwords().get(lang, ()):
+                of.setdefault(w, []).append(lang)
+        _by_word[key] = {w: tuple(x) for w, x in of.items()}
+    of = _by_word[key]
 
-    One broadcast join of the distinct words of each document: a shuffle of (document, language) counts only.
-    """
-    words = text.words(F.lower(F.col(text_column)))
-    own = [F.col(lang).alias("own")] if lang else []
-    rows = docs.select("doc_id", *own, words.alias("w"))
-    rows = rows.select("doc_id", *[c for c in ("own",) if lang], F.size("w").alias("units"), F.explode_outer("w").alias("word"))
-    stop = F.broadcast(tables.frame(docs.sparkSession, "stopwords"))  # 22,614 rows
-    keys = ["word"] if not lang else [rows["word"] == stop["word"], rows["own"] == stop["lang"]]
-    hit = rows.join(stop, keys, "inner")
-    return hit.groupBy("doc_id", stop["lang"]).agg(F.count("*").alias("hits"), F.max("units").alias("units"))
+    def one(text):
+        words = text.lower().split() if text else ()
+        hits = Counter(lang for w in words for lang in of.get(w, ()))
+        if not hits:
+            return None, 0.0
+        lang = min(hits, key=lambda x: (-hits[x], x))
+        return lang, hits[lang] / len(words)
+
+    return pd.DataFrame([one(t) for t in doc], columns=["best_lang", "score"])
+
+
+_own_score = arrow.udf(__name__, "own_scores", "double")
+_best_score = arrow.udf(__name__, "best_scores", "struct<best_lang:string,score:double>")
 
 
 def stopword_score(docs: DataFrame, text_column: str = "text", lang: str = "lang") -> DataFrame:
-    """(doc_id, lang, score): share of stopwords among words; 1.5 times their share among the units in languages written without spaces.
+    """(doc_id, lang, score) of every row: share of stopwords among words; 1.5 times their share among the units in languages written without spaces.
+
+    1 for languages without a list; null for a text without words.
+    """
+    return docs.select("doc_id", F.col(lang).alias("lang"), _own_score(F.col(lang), F.col(text_column)).alias("score"))
+
+
+def with_best_language(docs: DataFrame, languages: tuple[str, ...] | None = None, text_column: str = "text") -> DataFrame:
+    """``docs`` with ``best`` (struct<best_lang, score>): the language most of whose stopwords a text has, and their share; ties go to the alphabetically first.
 
-    1 for languages without a list; null for a text without words. Words meet the list in a broadcast join and are counted before the shuffle, which
-    holds a number for each document.
+    A text without any stopword, an empty one or none: null, and 0.
     """
-    spark = docs.sparkSession
-    stop = tables.frame(spark, "stopwords")
-    base = docs.select("doc_id", F.col(lang).alias("lang"), F.col(text_column).alias("t"))
-    by_character = F.coalesce(F.col("lang").isin(*CHARACTER_LANGS), F.lit(False))
-    wide = base.where(by_character).select("doc_id", "lang", F.when(F.col("lang").isin(*tables.stopwords()), _character_score(F.col("lang"), F.col("t"))).otherwise(1.0).alias("score"))
-    rows = base.where(~by_character).select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", text.words(F.lower("t")).alias("w"))
-    rows = rows.select("row", "doc_id", "lang", F.size("w").alias("units"), F.explode_outer("w").alias("word"))
-    hits = rows.join(F.broadcast(stop.withColumn("hit", F.lit(1))), ["lang", "word"], "left").groupBy("row", "doc_id", "lang").agg(F.count("hit").alias("hits"), F.max("units").alias("units"))  # 22,614 rows
-    known = F.coalesce(F.col("lang").isin(*tables.stopwords()), F.lit(False))
-    return hits.select("doc_id", "lang", F.when(~known, 1.0).when(F.col("units") > 0, F.col("hits") / F.col("units")).alias("score")).unionByName(wide)
+    return docs.withColumn("best", _best_score(F.lit(" ".join(languages or ())), F.col(text_column)))
 
 
 def best_language(docs: DataFrame, languages: tuple[str, ...] | None = None, text_column: str = "text") -> DataFrame:
-    """(doc_id, best_lang, score): the language most of whose stopwords a document has; ties go to the alphabetically first."""
-    hits = stopword_hits(docs, text_column)
-    if languages:
-        hits = hits.where(F.col("lang").isin(*languages))
-    best = F.min_by(F.struct("lang", (F.col("hits") / F.col("units")).alias("score")), F.struct(-F.col("hits"), F.col("lang"))).alias("b")
-    return hits.groupBy("doc_id").agg(best).select("doc_id", F.col("b.lang").alias("best_lang"), "b.score")
+    """(doc_id, best_lang, score) of every row."""
+    return with_best_language(docs, languages, text_column).select("doc_id", "best.best_lang", "best.score")
 
 
 def group_table(spark) -> DataFrame:

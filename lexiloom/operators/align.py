@@ -21,14 +21,24 @@ NO_SPACES = ("zh", "ja", "ki")
 
 
 def translate(rows: DataFrame, translator: Callable[[list[str], str, str], list[str]], source: str, target: str, text: str = "text", out: str = "translated") -> DataFrame:
-    """``rows`` with the translation of a column; a translator's failure gives the sentinel of a missing text."""
+    """``rows`` with the translation of a column. Where a translator fails on a batch, its texts are tried one by one, and the ones it fails on give the sentinel of a missing text."""
     schema = StructType([*rows.schema.fields, StructField(out, StringType())])
 
+    def attempt(texts: list[str]) -> list[str | None]:
+        try:
+            return list(translator(texts, source, target))
+        except Exception:  # whatever a translator raises, the documents go on
+            return [None] * len(texts)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             known = b[text].notna()
             made = pd.Series([None] * len(b), index=b.index, dtype=object)
-            made[known] = [tx.MISSING if x is None else x for x in translator(b.loc[known, text].tolist(), source, target)]
+            texts = b.loc[known, text].tolist()
+            out_ = attempt(texts)
+            if len(out_) != len(texts) or any(x is None for x in out_):
+                out_ = [(attempt([t]) or [None])[0] for t in texts]
+            made[known] = [tx.MISSING if x is None else x for x in out_]
             yield b.assign(**{out: made})
 
     return rows.mapInPandas(run, schema)

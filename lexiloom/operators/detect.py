@@ -24,18 +24,20 @@ NGRAM, OPEN_LENGTH = 5, 20
 class Rule:
     """A pattern without capturing groups that never matches an empty string, in the syntax that RE2 and Java share.
 
-    With ``context`` (a pattern), a match counts only where that is found within NEAR characters on either side.
+    With ``context`` (a pattern), a match counts only where that is found within NEAR characters on either side. ``must``: a string that every
+    match has; a text without it isn't searched.
     """
 
     label: str
     pattern: str
     context: str | None = None
+    must: str | None = None
 
 
 RULES = (
-    Rule("EMAIL", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+"),
+    Rule("EMAIL", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", must="@"),
     Rule("IP_ADDRESS", "(?:[0-9]{1,3}[.]){3}[0-9]{1,3}"),
-    Rule("PHONE", "[+][0-9]{1,3} [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}"),
+    Rule("PHONE", "[+][0-9]{1,3} [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}", must="("),
     Rule("KEY", "[0-9a-f]{40}", "(?i)token|key|secret|password"),
     Rule("ID", "[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}"),
 )
@@ -57,18 +59,25 @@ def found(c: Column, pattern: str) -> Column:
     return tx.let(F.struct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("hits"), F.split(c, pattern).alias("pieces")), places)
 
 
-def with_patterns(docs: DataFrame, rules: tuple[Rule, ...] = RULES, weight: float = REGEX_WEIGHT, signal: str = "regex", text: str = "text", key: str = "doc_id", near: int = NEAR) -> DataFrame:
-    """Votes for the matches of every rule, one scan for all."""
-    c = F.col(text)
+def matches(c: Column, rules: tuple[Rule, ...] = RULES, near: int = NEAR) -> Column:
+    """array<struct<ent, start, label>> of the matches of every rule. Where a rule doesn't occur in a text, one pass finds that out, and nothing is built."""
 
     def one(rule: Rule) -> Column:
-        hits = F.coalesce(found(c, rule.pattern), F.array().cast("array<struct<ent:string,start:int>>"))
+        hits = found(c, rule.pattern)
         if rule.context:
             about = lambda m: F.substring(c, F.greatest(m["start"] - near, F.lit(0)) + 1, F.length(m["ent"]) + near + F.least(m["start"], F.lit(near)))
             hits = F.filter(hits, lambda m: about(m).rlike(rule.context))
-        return F.transform(hits, lambda m: F.struct(m["ent"].alias("ent"), m["start"].alias("start"), F.lit(rule.label).alias("label")))
+        rows = F.transform(hits, lambda m: F.struct(m["ent"].alias("ent"), m["start"].alias("start"), F.lit(rule.label).alias("label")))
+        there = F.contains(c, F.lit(rule.must)) if rule.must else c.rlike(rule.pattern)
+        return F.when(there, rows).otherwise(F.array().cast("array<struct<ent:string,start:int,label:string>>"))
+
+    return F.concat(*[one(r) for r in rules])
 
-    rows = docs.select(key, F.explode_outer(F.concat(*[one(r) for r in rules])).alias("m")).where("m is not null")
+
+def with_patterns(docs: DataFrame, rules: tuple[Rule, ...] = RULES, weight: float = REGEX_WEIGHT, signal: str = "regex", text: str = "text", key: str = "doc_id", near: int = NEAR) -> DataFrame:
+    """Votes for the matches of every rule, one scan for all."""
+    c = F.col(text)
+    rows = docs.select(key, F.explode_outer(matches(c, rules, near)).alias("m")).where("m is not null")
     ent = F.col("m.ent")
     return rows.select(key, ent.alias("ent"), F.col("m.start").alias("start"), (F.col("m.start") + F.length(ent)).alias("end"), F.col("m.label").alias("label"), F.lit(signal).alias("signal"), vote(ent, weight).alias("weight"))
 

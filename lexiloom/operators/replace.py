@@ -229,22 +229,41 @@ def mask(docs: DataFrame, entities: DataFrame, scope: tuple[str, ...]) -> DataFr
     return rows.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(rewrite(F.col("text"), F.col("spans"))["text"]).alias("text_masked"))
 
 
+def mask_patterns(docs: DataFrame, scope: tuple[str, ...], rules: tuple | None = None) -> DataFrame:
+    """doc_id, text_masked: the same for the pattern rules in scope, found and rewritten within the row, so texts are neither joined nor shuffled."""
+    from .detect import RULES, matches
+
+    c = F.col("text")
+    spans = F.transform(matches(c, tuple(r for r in rules or RULES if r.label in scope)), lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["ent"])).alias("end"), m["label"].alias("label"), F.concat(F.lit("<"), m["label"], F.lit(">")).alias("new")))
+    return docs.select("doc_id", "text", spans.alias("spans")).select("doc_id", F.when(F.size("spans") > 0, rewrite(c, F.col("spans"))["text"]).otherwise(c).alias("text_masked"))
+
+
 def adopt(docs: DataFrame, anonymized: DataFrame) -> DataFrame:
     """``docs`` with the anonymized text as text where there is one."""
     rows = docs.join(anonymized.select("doc_id", "text_anon"), "doc_id", "left")
     return rows.withColumn("text", F.coalesce("text_anon", "text")).select(*docs.columns)
 
 
-def without_known(names: DataFrame, known: DataFrame, trials: int = 8, seed: int = 0) -> DataFrame:
-    """``names`` (ent, lang) with an invented name ``new`` that ``known`` (name) doesn't have: the first of ``trials`` seeds that does; else the last one.
+def without_known(names: DataFrame, known: DataFrame, trials: int = 8, most: int = 1_000, seed: int = 0) -> DataFrame:
+    """``names`` (ent, lang) with an invented name ``new`` that ``known`` (name) doesn't have: that of the first seed which gives one; after ``most`` seeds the last one.
 
-    A list of known names stands for the language model by which names of public figures are told.
+    Names for which ``trials`` seeds were not enough are tried again with as many more, and only those. A list of known names stands for
+    the language model by which names of public figures are told.
     """
-    tries = F.array(*[F.struct(F.lit(k).alias("k"), fake_person(F.col("ent"), F.col("lang"), None, seed + k).alias("new")) for k in range(trials)])
-    rows = names.select("ent", "lang").distinct().select("ent", "lang", F.explode(tries).alias("t")).select("ent", "lang", "t.*")
-    rows = rows.join(known.select(F.col("name").alias("new"), F.lit(True).alias("taken")).distinct(), "new", "left")
-    best = F.min_by("new", F.struct(F.coalesce("taken", F.lit(False)).alias("taken"), F.when(F.col("taken"), -F.col("k")).otherwise(F.col("k")).alias("k")))
-    return rows.groupBy("ent", "lang").agg(best.alias("new"))
+    taken = known.select(F.col("name").alias("new")).distinct().withColumn("taken", F.lit(True))
+    left, done, first = names.select("ent", "lang").distinct(), None, 0
+    while True:
+        last = first + trials >= most
+        tries = F.array(*[F.struct(F.lit(k).alias("k"), fake_person(F.col("ent"), F.col("lang"), None, seed + k).alias("new")) for k in range(first, first + trials)])
+        rows = left.select("ent", "lang", F.explode(tries).alias("t")).select("ent", "lang", "t.*").join(taken, "new", "left")
+        free = F.min_by("new", F.when(F.col("taken").isNull(), F.col("k")))
+        best = rows.groupBy("ent", "lang").agg(free.alias("new"), F.max_by("new", "k").alias("other"))
+        found = best.select("ent", "lang", F.coalesce("new", "other").alias("new")) if last else best.where("new is not null").select("ent", "lang", "new")
+        done = found if done is None else done.unionByName(found)
+        left = best.where("new is null").select("ent", "lang")
+        if last or left.isEmpty():
+            return done
+        first += trials
 
 
 # ---- placeholders ----------------------------------------------------------------------------------

@@ -101,26 +101,21 @@ def roll_up(votes: DataFrame) -> DataFrame:
     return votes.groupBy(*SPAN, "label").agg(F.round(F.sum("weight"), 6).alias("weight"))
 
 
-def apply_label_rules(labels: Column) -> Column:
-    """map<label, weight> after the rules: a general label gives its weight to the special one that is there too; DATE drives out ID."""
-
-    def one(m: Column, rule) -> Column:
-        goes, gets = rule
-        other = gets or "DATE"
-        both = F.map_contains_key(m, goes) & F.map_contains_key(m, other)
-        less = F.map_filter(m, lambda k, _: k != goes)
-        if gets:
-            given = F.try_element_at(m, F.lit(goes))
-            less = F.transform_values(less, lambda k, v: F.when(k == gets, F.round(v + given, 6)).otherwise(v))
-        return F.when(both, less).otherwise(m)
-
-    return reduce(one, RULES, labels)
-
-
 def collapse_labels(rolled: DataFrame) -> DataFrame:
-    """``roll_up``'s rows after the label rules: one aggregate by span."""
-    maps = rolled.groupBy(*SPAN).agg(F.map_from_entries(F.collect_list(F.struct("label", "weight"))).alias("m"))
-    return maps.select(*SPAN, F.explode_outer(apply_label_rules(F.col("m"))).alias("label", "weight")).where("label is not null")
+    """``roll_up``'s rows after the label rules: a general label gives its weight to the special one that is there too; DATE drives out ID.
+
+    One aggregate by span, with a sum for each label that a rule names.
+    """
+    named = sorted({x for goes, gets in RULES for x in (goes, gets or "DATE")})
+    pair = "array<struct<label:string,weight:double>>"
+    other = F.collect_list(F.when(~F.col("label").isin(*named), F.struct("label", "weight"))).cast(pair)
+    rows = rolled.groupBy(*SPAN).agg(*[F.sum(F.when(F.col("label") == x, F.col("weight"))).alias(f"__{x}") for x in named], other.alias("__other"))
+    for goes, gets in RULES:
+        both = F.col(f"__{goes}").isNotNull() & F.col(f"__{gets or 'DATE'}").isNotNull()
+        given = {f"__{gets}": F.when(both, F.round(F.col(f"__{gets}") + F.col(f"__{goes}"), 6)).otherwise(F.col(f"__{gets}"))} if gets else {}
+        rows = rows.withColumns({f"__{goes}": F.when(~both, F.col(f"__{goes}"))} | given)
+    kept = F.filter(F.array(*[F.struct(F.lit(x).alias("label"), F.col(f"__{x}").alias("weight")) for x in named]).cast(pair), lambda m: m["weight"].isNotNull())
+    return rows.select(*SPAN, F.inline(F.concat(kept, "__other")))
 
 
 def collapse(docs: DataFrame, votes: DataFrame, stopwords: DataFrame | None = None, compat: bool = False) -> DataFrame:

@@ -193,8 +193,9 @@ def chunks_rejoined(spark, sf_dir):
 _STOP = [(x, w) for x in LANGS for w in sorted(tables.stopwords()[x])]
 STOP_SQL = _values(_STOP, "lang, word")
 UNITS_SQL = "SELECT doc_id, lang AS own, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents"
-BEST_SQL = f"""SELECT doc_id, arg_min(struct_pack(lang := lang, score := hits / units), struct_pack(h := -hits, l := lang)) AS b FROM (
-  SELECT doc_id, lang, count(*) AS hits, max(units) AS units FROM (SELECT doc_id, len(w) AS units, unnest(w) AS word FROM ({UNITS_SQL})) JOIN {STOP_SQL} USING (word) GROUP BY doc_id, lang) GROUP BY doc_id"""
+BEST_SQL = f"""SELECT d.doc_id, coalesce(b, struct_pack(lang := NULL::VARCHAR, score := 0::DOUBLE)) AS b FROM documents d LEFT JOIN (
+  SELECT doc_id, arg_min(struct_pack(lang := lang, score := hits / units), struct_pack(h := -hits, l := lang)) AS b FROM (
+    SELECT doc_id, lang, count(*) AS hits, max(units) AS units FROM (SELECT doc_id, len(w) AS units, unnest(w) AS word FROM ({UNITS_SQL})) JOIN {STOP_SQL} USING (word) GROUP BY doc_id, lang) GROUP BY doc_id) USING (doc_id)"""
 
 
 @query(f"""
@@ -212,9 +213,8 @@ def lang_argmax(spark, sf_dir):
 
 @query(f"SELECT doc_id, lang, b.lang AS best_lang, round(CASE WHEN (b.lang <> lang OR (b.score > 0.4 AND b.score < 0.7)) AND b.lang = lang THEN b.score * 1.5 ELSE b.score END, 6) AS score FROM ({BEST_SQL}) JOIN documents USING (doc_id)")
 def lang_agreement_boost(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents")
-    best = language.best_language(docs, LANGS).join(docs.select("doc_id", "lang"), "doc_id")
-    return best.select("doc_id", "lang", "best_lang", F.round(language.agreed_score(F.col("best_lang"), F.col("score"), F.col("lang")), 6).alias("score"))
+    rows = language.with_best_language(_read(spark, sf_dir, "documents"), LANGS).select("doc_id", "lang", "best.best_lang", "best.score")
+    return rows.select("doc_id", "lang", "best_lang", F.round(language.agreed_score(F.col("best_lang"), F.col("score"), F.col("lang")), 6).alias("score"))
 
 
 @query(f"SELECT lang, count(*) AS members, string_agg(member, ' ' ORDER BY member) AS names FROM {_values(tables.grouped_languages(), 'lang, member')} GROUP BY lang")
@@ -356,8 +356,7 @@ def ner_collapse(spark, sf_dir):
 
 @query(f"SELECT doc_id, md5(regexp_replace(text, '{detect.RULES[0].pattern}', '<EMAIL>', 'g')) AS masked_md5 FROM documents")
 def mask_in_scope(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents")
-    return replace.mask(docs, detect.with_patterns(docs), ("EMAIL",)).select("doc_id", F.md5("text_masked").alias("masked_md5"))
+    return replace.mask_patterns(_read(spark, sf_dir, "documents"), ("EMAIL",)).select("doc_id", F.md5("text_masked").alias("masked_md5"))
 
 
 @query()
@@ -419,10 +418,9 @@ def similarity_gate(spark, sf_dir):
     return rows.select("vec_id", *[language.similar_enough(F.col("cosine"), u).alias(u) for u in ("translate", "augment", "back")])
 
 
-@query(f"SELECT doc_id, best_lang = 'en' AS kept, CASE WHEN best_lang = 'en' THEN length(text) ELSE {len(tx.MISSING)} END AS n FROM documents JOIN (SELECT doc_id, b.lang AS best_lang FROM ({BEST_SQL})) USING (doc_id)")
+@query(f"SELECT doc_id, best_lang = 'en' AS kept, CASE WHEN best_lang = 'en' OR best_lang IS NULL THEN length(text) ELSE {len(tx.MISSING)} END AS n FROM documents JOIN (SELECT doc_id, b.lang AS best_lang FROM ({BEST_SQL})) USING (doc_id)")
 def language_gate(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents")
-    rows = docs.join(language.best_language(docs, LANGS), "doc_id")
+    rows = language.with_best_language(_read(spark, sf_dir, "documents"), LANGS).select("doc_id", "text", "best.best_lang")
     return rows.select("doc_id", (F.col("best_lang") == "en").alias("kept"), F.length(language.gate(F.col("text"), F.col("best_lang"), F.lit("en"))).cast("long").alias("n"))
 
 

@@ -49,10 +49,10 @@ def _values(rows, names: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(_quote, r)) + ')' for r in rows)}) AS t({names})"
 
 
-def _mentions_sql(table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+def _mentions_sql(table: str = "documents", key: str = "doc_id", text: str = "text", rules: tuple = detect.RULES) -> str:
     """A subquery with (key, ent, start, label) for every rule's matches."""
     parts = []
-    for r in detect.RULES:
+    for r in rules:
         near = f"WHERE regexp_matches(substr({text}, greatest(start - {detect.NEAR}, 0) + 1, length(ent) + {detect.NEAR} + least(start, {detect.NEAR})), '{r.context}')" if r.context else ""
         parts.append(f"""SELECT {key}, '{r.label}' AS label, ent, start FROM (
   SELECT {key}, {text}, ms[i] AS ent, CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS start FROM (
@@ -110,15 +110,67 @@ def dictionary_ngrams(spark, sf_dir):
     return detect.dictionary_hits(_read(spark, sf_dir, "documents"), _dictionary(spark)).groupBy("key", "label", "n").agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("docs"))
 
 
-@query()
+def _dictionary_sql(dictionary: dict, labels: tuple, stop: str | None = None, table: str = "documents") -> str:
+    """A subquery with the votes of ``detect.with_dictionary``; ``stop``: a subquery of stopwords (word)."""
+    capital = lambda c: f"left({c}, 1) = upper(left({c}, 1))"
+    named = " OR ".join(f"contains(label, '{x}')" for x in detect.CAPITALISED)
+    stops = f"AND lower(ltrim(first, {STRIP_SQL})) NOT IN ({stop}) AND lower(last) NOT IN ({stop}) AND key NOT IN ({stop})" if stop else ""
+    return f"""(
+WITH cut AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS ms, string_split_regex(text, '\\S+') AS ps FROM {table}),
+tok AS (SELECT doc_id, unnest(range(0, len(ms))) AS i, unnest(ms) AS tok, unnest(ps[1:len(ms)]) AS gap FROM cut),
+placed AS (SELECT doc_id, i, tok, sum(length(gap) + length(tok)) OVER (PARTITION BY doc_id ORDER BY i) - length(tok) AS start FROM tok),
+windows AS (SELECT doc_id, i, list(tok) OVER w AS w, list(start) OVER w AS s FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {detect.NGRAM - 1} FOLLOWING)),
+grams AS (SELECT doc_id, i, unnest(range(1, len(w) + 1)) AS n, w, s FROM windows),
+keyed AS (SELECT doc_id, i, n, replace(lower(trim(array_to_string(w[1:n], '_'), {STRIP_SQL})), '-', '_') AS key, w[1] AS first, w[n] AS last, s[1] AS first_at, s[n] AS last_at FROM grams),
+hits AS (SELECT *, first_at + length(first) - length(ltrim(first, {STRIP_SQL})) AS start, last_at + length(last) - CASE WHEN length(last) IN (2, 3) AND right(last, 1) = '.' THEN greatest(length(last) - length(rtrim(last, {STRIP_SQL})) - 1, 0) ELSE length(last) - length(rtrim(last, {STRIP_SQL})) END AS z,
+    label IN ({', '.join(map(_quote, labels))}) AS wanted, NOT ({named}) OR ({capital('first')} AND {capital('last')}) AS ok
+  FROM keyed JOIN {_values(dictionary.items(), 'key, label')} USING (key) WHERE true {stops}),
+lists AS (SELECT doc_id, list([struct_pack(i := i, upto := i + n, label := label, start := start, z := z, take := wanted AND ok)] ORDER BY i, -n, label, start, z) AS h FROM hits WHERE (wanted AND ok) OR (NOT wanted AND length(key) < {detect.OPEN_LENGTH}) GROUP BY doc_id),
+picked AS (SELECT doc_id, unnest(list_reduce(h, lambda acc, x: CASE WHEN x[1].i >= acc[-1].upto THEN acc || x ELSE acc END)) AS m FROM lists)
+SELECT doc_id, substr(text, CAST(m.start AS INTEGER) + 1, CAST(m.z - m.start AS INTEGER)) AS ent, CAST(m.start AS INTEGER) AS start, CAST(m.z AS INTEGER) AS "end", m.label AS label, 'dictionary' AS signal, {detect.DICTIONARY_WEIGHT}::DOUBLE AS weight FROM picked JOIN {table} USING (doc_id) WHERE m.take)"""
+
+
+def _expand_sql(votes: str) -> str:
+    """A subquery with the votes of ``detect.expand_public_figures``."""
+    return f"""(
+WITH kinds AS (SELECT doc_id, ent, start, "end" AS z, bool_or(label = 'PUBLIC_FIGURE') AS famous, bool_or(label = 'PERSON') AS person FROM {votes} GROUP BY ALL),
+words AS (SELECT doc_id, start AS fs, z AS fe, unnest(string_split(trim(ent, '.'), ' ')) AS word FROM kinds WHERE famous),
+spans AS (SELECT doc_id, word, list(struct_pack(fs := fs, fe := fe)) AS spans FROM words WHERE length(trim(word, '.,')) > 4 GROUP BY doc_id, word)
+SELECT k.doc_id, ent, start, z AS "end", 'PUBLIC_FIGURE' AS label, 'pf-expand' AS signal, count(*)::DOUBLE AS weight FROM kinds k JOIN spans s ON s.doc_id = k.doc_id
+WHERE NOT famous AND person AND (starts_with(ent, word) OR (length(ent) > 4 AND starts_with(word, ent))) AND len(list_filter(spans, lambda s: s.fs <= start AND s.fe >= z)) = 0 GROUP BY ALL)"""
+
+
+def _merge_sql(rows: str, table: str = "documents") -> str:
+    """A subquery with the rows of ``votes.merge``: a fold over the sorted spans of each document."""
+    span = lambda a, z, v: f"struct_pack(a := {a}, z := {z}, v := {v})"
+    p, x, before = "acc[-1]", "x[1]", "acc[1:len(acc) - 1]"
+    return f"""(
+WITH spans AS (SELECT doc_id, start AS a, "end" AS z, list(struct_pack(label := label, signal := signal, weight := weight)) AS v FROM {rows} GROUP BY ALL),
+lists AS (SELECT doc_id, list([{span('a', 'z', 'v')}] ORDER BY a, -z) AS s FROM spans GROUP BY doc_id),
+folded AS (SELECT doc_id, unnest(list_reduce(s, lambda acc, x: CASE WHEN {p}.z <= {x}.a THEN acc || x
+    WHEN {p}.z >= {x}.z OR {p}.z - {x}.a > {votes.OVERLAP} THEN {before} || [{span(f'{p}.a', f'greatest({p}.z, {x}.z)', f'{p}.v || {x}.v')}]
+    WHEN {x}.z - {x}.a > {p}.z - {p}.a THEN {before} || [{span(f'{p}.a', f'{x}.a', f'{p}.v')}] || x
+    ELSE acc || [{span(f'{p}.z', f'{x}.z', f'{x}.v')}] END)) AS s FROM lists),
+raw AS (SELECT doc_id, substr(text, CAST(s.a AS INTEGER) + 1, CAST(s.z - s.a AS INTEGER)) AS raw, s.a AS a, unnest(s.v) AS v FROM folded JOIN {table} USING (doc_id) WHERE s.z > s.a),
+stripped AS (SELECT doc_id, trim(raw, {STRIP_SQL}) AS ent, CAST(a + length(raw) - length(ltrim(raw, {STRIP_SQL})) AS INTEGER) AS start, v FROM raw)
+SELECT doc_id, ent, start, CAST(start + length(ent) AS INTEGER) AS "end", v.label AS label, v.signal AS signal, round(sum(v.weight), 6) AS weight FROM stripped WHERE ent <> '' GROUP BY ALL)"""
+
+
+STOP_WORDS_SQL = "SELECT word FROM " + _values([(w,) for w in sorted({w for x in LANGS for w in tables.stopwords()[x]})], "word")
+
+
+@query(f"SELECT * FROM {_dictionary_sql(DICTIONARY, ('PERSON', 'PUBLIC_FIGURE', 'ORG', 'LAW'), STOP_WORDS_SQL)}")
 def dictionary_mentions(spark, sf_dir):
     stop = tables.frame(spark, "stopwords").where(F.col("lang").isin(*LANGS)).select("word").distinct()
     return detect.with_dictionary(_read(spark, sf_dir, "documents"), _dictionary(spark), stop, labels=("PERSON", "PUBLIC_FIGURE", "ORG", "LAW"))
 
 
-@query()
+FIGURES = {"eriner_thanea": "PUBLIC_FIGURE", "eriner": "PERSON", "thanea": "PERSON", "stteen_erachtz": "PUBLIC_FIGURE", "erachtz": "PERSON"}
+
+
+@query(f"WITH found AS {_dictionary_sql(FIGURES, ('PERSON', 'PUBLIC_FIGURE'))} SELECT * FROM {_expand_sql('found')}")
 def pf_expand(spark, sf_dir):
-    found = detect.with_dictionary(_read(spark, sf_dir, "documents"), detect.dictionary_frame(spark, {"eriner_thanea": "PUBLIC_FIGURE", "eriner": "PERSON", "thanea": "PERSON", "stteen_erachtz": "PUBLIC_FIGURE", "erachtz": "PERSON"}))
+    found = detect.with_dictionary(_read(spark, sf_dir, "documents"), detect.dictionary_frame(spark, FIGURES))
     return detect.expand_public_figures(found)
 
 
@@ -339,11 +391,13 @@ def mention_cleanup(spark, sf_dir):
     return votes.clean(every, spark.createDataFrame([("and",)], "word string")).groupBy("ent").agg(F.count("*").alias("n"))
 
 
-@query()
+WIDE_RULES = (detect.Rule("ADDRESS", "[A-Z][a-z]+ [a-z]+ [a-z]+"), detect.Rule("PERSON", "[A-Z][a-z]+"), *detect.RULES)
+
+
+@query(f"""WITH v AS (SELECT doc_id, ent, start, start + length(ent) AS "end", label, 'regex' AS signal, {WEIGHT_SQL} AS weight FROM {_mentions_sql(rules=WIDE_RULES)}) SELECT * FROM {_merge_sql('v')}""")
 def overlap_merge(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
-    wide = (detect.Rule("ADDRESS", "[A-Z][a-z]+ [a-z]+ [a-z]+"), detect.Rule("PERSON", "[A-Z][a-z]+"), *detect.RULES)
-    return votes.merge(docs, detect.with_patterns(docs, wide))
+    return votes.merge(docs, detect.with_patterns(docs, WIDE_RULES))
 
 
 @query()
@@ -436,6 +490,12 @@ def question_prompts(spark, sf_dir):
     return _read(spark, sf_dir, "benchmark").select("item_id", prompts.qa_prompt(F.lit("What is it?"), F.col("text")).alias("qa"), prompts.end_to_end_prompt(F.col("text")).alias("e2e"))
 
 
-@query()
+@query("""
+WITH s AS (SELECT item_id AS doc_id, list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)), lambda x: x <> '') AS s FROM benchmark),
+one AS (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS k FROM s)
+SELECT doc_id, CAST(k - 1 AS INTEGER) AS sentence_no, 'extract answers: ' || array_to_string(list_transform(s, lambda x, i: CASE WHEN i = k THEN '<hl> ' || x || ' <hl>' ELSE x END), ' ') || ' </s>' AS prompt FROM one""")
 def answer_prompts(spark, sf_dir):
     return prompts.answer_prompts(_read(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"))
+
+
+from . import rules  # noqa: E402, F401

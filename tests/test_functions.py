@@ -80,8 +80,11 @@ def test_stopword_score(spark):
 
 
 def test_language_of_texts(spark):
-    docs = spark.createDataFrame([(1, "the cat is in the house"), (2, "der hund und die katze"), (3, "zzz qqq")], "doc_id long, text string")
-    assert {r.doc_id: r.best_lang for r in language.best_language(docs, ("de", "en")).collect()} == {1: "en", 2: "de"}
+    rows = [(1, "the cat is in the house"), (2, "der hund und die katze"), (3, "zzz qqq"), (4, None), (5, ""), (1, "the cat is in the house")]
+    got = sorted(map(tuple, language.best_language(spark.createDataFrame(rows, "doc_id long, text string"), ("de", "en")).collect()))
+    assert [r[:2] for r in got] == [(1, "en"), (1, "en"), (2, "de"), (3, None), (4, None), (5, None)]  # every row, and repeated rows don't add up
+    assert got[0][2] == got[1][2] == pytest.approx(4 / 6) and got[2][2] == pytest.approx(3 / 5) and {r[2] for r in got[3:]} == {0.0}
+    assert {r.best_lang for r in language.best_language(spark.createDataFrame(rows[:2], "doc_id long, text string")).collect()} == {"en", "de"}
 
 
 @pytest.mark.parametrize("first,score,second,want", [("id", 0.8, "ms", 1.2), ("id", 0.8, "id", 0.8), ("id", 0.5, "id", 0.75), ("en", 0.5, "de", 0.5), ("en", 0.5, "en", 0.75), ("la", 0.9, "fr", 1.35)])

@@ -47,9 +47,9 @@ def arc_of(digest: Column, places: list[str]) -> Column:
     first = [bisect_left(places, f"{x:0{digits}x}") for x in range(16**digits + 1)]
     most = max(b - a for a, b in zip(first, first[1:]))
     low = _at(first[:-1], _hex(digest, 1, digits), 4)
-    text = F.lit("".join(places) + "g" * 16 * most)  # 'g' is after all digits
-    place = F.substring(digest, 1, 16)
-    return sum(((F.substring(text, (low + k) * 16 + 1, F.lit(16)) < place).cast("int") for k in range(most)), low) % len(places)
+    table = F.lit(bytearray(bytes.fromhex("".join(places)) + b"\xff" * 8 * most))  # bytes are found at once; characters would be counted from the first on
+    place = F.unhex(F.substring(digest, 1, 16))
+    return sum(((F.substring(table, (low + k) * 8 + 1, F.lit(8)) < place).cast("int") for k in range(most)), low) % len(places)
 
 
 def simulate(cells: dict[tuple[int, int], int], points: list[tuple[int, int]], shards: int, capacity: int) -> dict[tuple[int, int], list[tuple[int, int]]]:

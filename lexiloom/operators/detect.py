@@ -6,18 +6,22 @@ never shuffled; the dictionary is joined by its own size (Catalyst broadcasts it
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as tx
 
 MENTION = "doc_id long, ent string, start int, end int, label string, signal string, weight double"
 REGEX_WEIGHT, DICTIONARY_WEIGHT, NEAR = 1.5, 0.85, 20
 CAPITALISED = ("PERSON", "PUBLIC_FIGURE", "ORG", "LOC")
-NGRAM, OPEN_LENGTH = 5, 20
+NGRAM, OPEN_LENGTH, BROADCAST_KEYS = 5, 20, 200_000
 
 
 @dataclass(frozen=True)
@@ -110,9 +114,46 @@ def ngrams(docs: DataFrame, most: int = NGRAM, text: str = "text", compat: bool
     return base.select("doc_id", "i", "n", dictionary_key(words).alias("key"), tok["ent"].alias("first"), last["ent"].alias("last"), (tok["start"] + lead).alias("start"), (last["start"] + F.length(last["ent"]) - F.when(short, F.greatest(tail - 1, F.lit(0))).otherwise(tail)).alias("end"))
 
 
+def known_ngrams(docs: DataFrame, keys: frozenset[str], most: int = NGRAM, compat: bool = False) -> DataFrame:
+    """The rows of ``ngrams`` whose key is in ``keys``, in one Arrow pass: only words that some key begins with are looked at more closely."""
+    shared = docs.sparkSession.sparkContext.broadcast(keys)
+    strip = tx.STRIP
+    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("i int, n int, key string, first string, last string, start int, end int").fields])
+
+    def hits(text: str, known: frozenset, heads: set):
+        toks = [(m.group(), m.start()) for m in re.finditer(r"\S+", text)]
+        for i, (tok, at) in enumerate(toks[:-1] if compat else toks):
+            bare = tok.lstrip(strip)
+            if bare:
+                head = bare.lower().replace("-", "_").split("_", 1)[0]
+                if head not in heads and head.rstrip(strip) not in heads:
+                    continue
+            for n in range(1, min(most, len(toks) - i) + 1):
+                key = "_".join(t for t, _ in toks[i : i + n]).strip(strip).lower().replace("-", "_")
+                if key in known:
+                    last, last_at = toks[i + n - 1]
+                    tail = len(last) - len(last.rstrip(strip))
+                    tail = max(tail - 1, 0) if len(last) in (2, 3) and last.endswith(".") else tail  # U.S. keeps its full stop
+                    yield i, n, key, tok, last, at + len(tok) - len(bare), last_at + len(last) - tail
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        heads = {k.split("_", 1)[0] for k in known}
+        for b in batches:
+            rows = [(d, *h) for d, t in zip(b["doc_id"], b["text"]) if t is not None for h in hits(t, known, heads)]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return docs.select("doc_id", "text").mapInPandas(run, schema)
+
+
 def dictionary_hits(docs: DataFrame, dictionary: DataFrame, stopwords: DataFrame | None = None, most: int = NGRAM, compat: bool = False) -> DataFrame:
-    """n-grams that are in ``dictionary`` (key, label). With ``stopwords`` (word), none begins or ends with one, and none is made of them alone."""
-    rows = ngrams(docs, most, compat=compat).join(dictionary, "key")
+    """n-grams that are in ``dictionary`` (key, label). With ``stopwords`` (word), none begins or ends with one, and none is made of them alone.
+
+    The keys of a dictionary of up to BROADCAST_KEYS are sent to the texts; a larger one is joined with the n-grams.
+    """
+    keys = [r[0] for r in dictionary.select("key").where("key is not null").distinct().limit(BROADCAST_KEYS + 1).collect()]
+    rows = known_ngrams(docs, frozenset(keys), most, compat) if len(keys) <= BROADCAST_KEYS else ngrams(docs, most, compat=compat)
+    rows = rows.join(dictionary, "key")
     if stopwords is None:
         return rows
     stop = stopwords.select(F.col("word").alias("w")).distinct()

@@ -95,7 +95,7 @@ def parse_brackets(text: str, items: int, cjk: bool = False, stopwords: frozense
 def bracket_rows(text: pd.Series, items: pd.Series, lang: pd.Series) -> pd.DataFrame:
     """``parse_brackets`` of columns (text, number of items, target language)."""
     words = tables.stopwords()
-    rows = [parse_brackets(t or "", int(n or 0), x in tx.CJK_TOKENS, words.get(x, frozenset())) for t, n, x in zip(text, items, lang)]
+    rows = [parse_brackets(t or "", 0 if pd.isna(n) else int(n), x in tx.CJK_TOKENS, words.get(x, frozenset())) for t, n, x in zip(text, items, lang)]
     return pd.DataFrame({"text": [r[0] for r in rows], "links": [[{"ent": e, "item": k} for e, k in r[1]] for r in rows]})
 
 
@@ -166,7 +166,7 @@ def project(source: str, back: str, lang: str, offset: int = 0) -> list[tuple[in
 
 
 def projected_rows(source: pd.Series, back: pd.Series, lang: pd.Series, offset: pd.Series) -> pd.Series:
-    return pd.Series([[dict(zip(("item", "ent", "start", "end"), r)) for r in project(a or "", b or "", x, int(o or 0))] for a, b, x, o in zip(source, back, lang, offset)])
+    return pd.Series([[dict(zip(("item", "ent", "start", "end"), r)) for r in project(a or "", b or "", x, 0 if pd.isna(o) else int(o))] for a, b, x, o in zip(source, back, lang, offset)])
 
 
 bracket_links = arrow.udf(__name__, "bracket_rows", "struct<text:string,links:array<struct<ent:string,item:int>>>")

@@ -34,9 +34,10 @@ _STREETS = "Ash Birch Cedar Elm Hazel Linden Maple Oak Poplar Rowan Walnut Willo
 _COUNTRIES = "Belgium Chile Denmark Estonia Finland Ghana Iceland Jordan Kenya Latvia Malta Norway Oman Peru Qatar Senegal".split()
 
 
-def number(key: Column, salt: str, seed: int = 0) -> Column:
+def number(key: Column, salt: str, seed: int | Column = 0) -> Column:
     """A number in [0, 2**32) from a text; the same in any engine that has md5."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{salt}:"), key)), 1, 8), 16, 10).cast("long")
+    head = [seed.cast("string"), F.lit(f":{salt}:")] if isinstance(seed, Column) else [F.lit(f"{seed}:{salt}:")]
+    return F.conv(F.substring(F.md5(F.concat(*head, key)), 1, 8), 16, 10).cast("long")
 
 
 def pick(values: list[str] | tuple[str, ...], key: Column, salt: str, seed: int = 0) -> Column:
@@ -247,23 +248,22 @@ def adopt(docs: DataFrame, anonymized: DataFrame) -> DataFrame:
 def without_known(names: DataFrame, known: DataFrame, trials: int = 8, most: int = 1_000, seed: int = 0) -> DataFrame:
     """``names`` (ent, lang) with an invented name ``new`` that ``known`` (name) doesn't have: that of the first seed which gives one; after ``most`` seeds the last one.
 
-    Names for which ``trials`` seeds were not enough are tried again with as many more, and only those. A list of known names stands for
+    Names for which ``trials`` seeds were not enough are tried again with ten times as many, and only those. A list of known names stands for
     the language model by which names of public figures are told.
     """
     taken = known.select(F.col("name").alias("new")).distinct().withColumn("taken", F.lit(True))
-    left, done, first = names.select("ent", "lang").distinct(), None, 0
+    left, done, first, upto = names.select("ent", "lang").distinct(), None, 0, min(trials, most)
     while True:
-        last = first + trials >= most
-        tries = F.array(*[F.struct(F.lit(k).alias("k"), fake_person(F.col("ent"), F.col("lang"), None, seed + k).alias("new")) for k in range(first, first + trials)])
-        rows = left.select("ent", "lang", F.explode(tries).alias("t")).select("ent", "lang", "t.*").join(taken, "new", "left")
+        tries = left.select("ent", "lang", F.explode(F.sequence(F.lit(first), F.lit(upto - 1))).alias("k"))
+        rows = tries.withColumn("new", fake_person(F.col("ent"), F.col("lang"), None, F.col("k") + seed)).join(taken, "new", "left")
         free = F.min_by("new", F.when(F.col("taken").isNull(), F.col("k")))
         best = rows.groupBy("ent", "lang").agg(free.alias("new"), F.max_by("new", "k").alias("other"))
-        found = best.select("ent", "lang", F.coalesce("new", "other").alias("new")) if last else best.where("new is not null").select("ent", "lang", "new")
+        found = best.select("ent", "lang", F.coalesce("new", "other").alias("new")) if upto == most else best.where("new is not null").select("ent", "lang", "new")
         done = found if done is None else done.unionByName(found)
         left = best.where("new is null").select("ent", "lang")
-        if last or left.isEmpty():
+        if upto == most or left.isEmpty():
             return done
-        first += trials
+        first, upto = upto, min(10 * upto, most)
 
 
 # ---- placeholders ----------------------------------------------------------------------------------

@@ -12,8 +12,9 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions import tables
+from ..functions import arrow, tables
 from ..functions import text as tx
 from .detect import MENTION
 
@@ -168,3 +169,35 @@ def spread_labels(mentions: DataFrame) -> DataFrame:
     counts = mentions.where("label is not null and cluster is not null").groupBy("doc_id", "cluster", "label").agg(F.count("*").alias("n"))
     best = counts.groupBy("doc_id", "cluster").agg(F.min_by("label", F.struct((-F.col("n")).alias("n"), "label")).alias("best"))
     return mentions.join(best, ["doc_id", "cluster"], "left").withColumn("label", F.coalesce("label", "best")).select(*mentions.columns)
+
+
+def coreference_rows(mentions: pd.Series, lang: pd.Series) -> pd.Series:
+    words = tables.stopwords()
+    return pd.Series([[{k: m.get(k) for k in ("ent", "start", "end", "label", "pronoun")} for m in coreference([dict(m) for m in ms], words.get(x, frozenset()))] for ms, x in zip(mentions, lang)])
+
+
+_coreference = arrow.udf(__name__, "coreference_rows", "array<struct<ent:string,start:int,end:int,label:string,pronoun:string>>")
+
+
+def with_coreference(docs: DataFrame, votes: DataFrame, resolver: Callable[[list[str], str], list[list[dict]]], weight: float = 1.0, signal: str = "coref") -> DataFrame:
+    """Votes from a coreference model: ``resolver`` gives for each text mentions {start, end, cluster} (cluster may be None).
+
+    A mention has the heaviest label that ``votes`` give its span, or none; labels spread over clusters within the document. The model runs in Arrow
+    batches on whole texts; only mentions are shuffled, and one document's are together.
+    """
+    schema = StructType([docs.schema["doc_id"], docs.schema["lang"], *StructType.fromDDL("ent string, start int, end int, cluster string").fields])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for lang, part in b.groupby("lang", dropna=False):
+                texts = part["text"].fillna("").tolist()
+                for doc, text, found in zip(part["doc_id"], texts, resolver(texts, lang)):
+                    rows += [(doc, lang, text[m["start"] : m["end"]], m["start"], m["end"], None if m.get("cluster") is None else str(m["cluster"])) for m in found]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    named = docs.select("doc_id", "lang", "text").mapInPandas(run, schema)
+    label = votes.groupBy("doc_id", "start", "end", "label").agg(F.sum("weight").alias("w")).groupBy("doc_id", "start", "end").agg(F.min_by("label", F.struct((-F.col("w")).alias("w"), "label")).alias("label"))
+    lists = named.join(label, ["doc_id", "start", "end"], "left").groupBy("doc_id", "lang").agg(F.array_sort(F.collect_list(F.struct("start", "end", "ent", "label", "cluster"))).alias("m"))
+    rows = lists.select("doc_id", F.inline(_coreference("m", "lang")))
+    return rows.select("doc_id", "ent", "start", "end", "label", F.lit(signal).alias("signal"), F.round(F.lit(weight) * (1 + F.length("ent") / 100), 6).alias("weight"))

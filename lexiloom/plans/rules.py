@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import language, tables
 from ..functions import text as tx
 from ..operators import align, detect, prompts, replace, votes
-from ..sources import documents
+from ..sources import documents, shared
 from ..streaming import documents as streams
 from .registry import LINE_SQL, VOTES_SQL, _line_votes, _mentions_sql, _pick_sql, _quote, _read, _replaces, _values, query
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder where all executors can write: below ``spark.checkpoint.dir``, a folder of our own only where that is unset and all is one machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{shared or tempfile.mkdtemp(prefix='lexiloom-')}/{uuid4().hex}"
-
-
 # ---- sources and sinks -----------------------------------------------------------------------------
 
 ROWS_SQL = "SELECT doc_id, lang, md5(text) AS text_md5, length(text) AS n FROM documents"
@@ -39,21 +28,21 @@ def _with_id(spark, sf_dir) -> DataFrame:
 
 @query(ROWS_SQL)
 def json_lines_round_trip(spark, sf_dir):
-    path = _folder(spark)
+    path = shared.new_folder(spark)
     documents.write_json_lines(_with_id(spark, sf_dir), path)
     return _digest(documents.read_json_lines(spark, path).where("_corrupt_record is null"))
 
 
 @query(ROWS_SQL)
 def json_lines_by_language(spark, sf_dir):
-    path = _folder(spark)
+    path = shared.new_folder(spark)
     documents.write_json_lines(_with_id(spark, sf_dir), path, by_language=True)
     return _digest(documents.read_documents(spark, path, "json"))
 
 
 @query(ROWS_SQL)
 def gzip_round_trip(spark, sf_dir):
-    path = documents.default_path(_folder(spark), "en")
+    path = documents.default_path(shared.new_folder(spark), "en")
     _with_id(spark, sf_dir).write.option("compression", "gzip").json(path)
     return _digest(documents.read_json_lines(spark, path))
 
@@ -74,7 +63,7 @@ def missing_defaults(spark, sf_dir):
 
 def _drained(spark, sf_dir, table: str, plan) -> DataFrame:
     """What ``plan`` gives of a table that is read as a stream, written once as JSON lines."""
-    schema, out = _read(spark, sf_dir, table).schema, _folder(spark)
+    schema, out = _read(spark, sf_dir, table).schema, shared.new_folder(spark)
     made = plan(streams.read_folder(spark, f"{sf_dir}/{table}.parquet", schema))
     streams.write_json(made, out, f"{out}-state").awaitTermination()
     return spark.read.schema(made.schema).json(out)

@@ -353,3 +353,40 @@ def test_whole_pass(spark):
     model = [(lambda texts, lang: [[{"word": "John", "entity": "PER", "start": t.index("John"), "end": t.index("John") + 4}] if "John" in t else [] for t in texts], 1.25)]
     found = pipeline.entities(pipeline.normalized(docs), pipeline.Options(classifiers=model))
     assert {(r.ent, r.label) for r in found.collect()} == {("a.b@c.org", "EMAIL"), ("John", "PERSON"), ("+1 (555) 123-4567", "PHONE")}
+
+
+def test_pass_with_translation_questions_and_coreference(spark):
+    """Toy models: the translation is the text with its names changed, so what each step adds can be told."""
+    docs = frame(spark, [(1, "de", "Der Hund und die Frau Anna Maier wohnen in Bonn. Die Dame ist alt."), (2, "en", "Nobody is here."), (3, "de", None)])
+    names = {"Der Hund und die Frau": "The dog and the woman", "wohnen in": "live in", "Die Dame ist alt": "The lady is old", "Bonn": "Bonna"}
+
+    def swap(pairs):
+        def run(texts, source, target):
+            for a, b in pairs:
+                texts = [t.replace(a, b) for t in texts]
+            return texts
+
+        return run
+
+    def spotted(texts, lang):
+        return [[{"word": w, "entity": e, "start": t.index(w), "end": t.index(w) + len(w)} for w, e in (("Anna Maier", "PERSON"), ("Bonn", "LOC")) if w in t] for t in texts]
+
+    def clusters(texts, lang):
+        return [[{"start": t.index(w), "end": t.index(w) + len(w), "cluster": 1} for w in ("Anna Maier", "Dame") if w in t] for t in texts]
+
+    plain = pipeline.Options(recognisers=[(spotted, 1.0)])
+    rows = pipeline.normalized(docs)
+    base = {(r.doc_id, r.ent): (r.label, r.weight) for r in pipeline.entities(rows, plain).collect()}
+    assert {k: v[0] for k, v in base.items()} == {(1, "Anna Maier"): "PERSON", (1, "Bonn"): "LOC"}
+    both = pipeline.Options(recognisers=[(spotted, 1.0)], target="en", translator=swap(names.items()), back_translator=swap([(b, a) for a, b in names.items()]))
+    found = {(r.doc_id, r.ent): (r.label, r.weight) for r in pipeline.entities(rows, both).collect()}
+    assert found.keys() == base.keys() and all(found[k][0] == base[k][0] and found[k][1] > base[k][1] for k in base)  # both languages agree
+    made = {(r.doc_id, r.lang): r.text_anon for r in pipeline.augmented(docs, pipeline.Options(recognisers=[(spotted, 1.0)], target="en", translator=swap(names.items()), scope=("LOC",))).collect()}
+    assert set(made) == {(1, "de"), (1, "en"), (2, "en"), (3, "de")} and "Bonn" not in made[1, "de"] and made[1, "en"].startswith("The dog and the woman Anna Maier live in ") and "Bonn" not in made[1, "en"]
+    more = {(r.ent, r.label) for r in pipeline.entities(rows, pipeline.Options(recognisers=[(spotted, 1.0)], coreference=clusters)).collect()}
+    assert ("Dame", "PERSON") in more
+    answers = lambda prompts: ["<pad> Anna Maier <sep>" if "<hl> Der Hund" in p else "" for p in prompts]
+    asked = pipeline.Options(question_models=(answers, lambda prompts: ["Who lives in Bonn?" for _ in prompts]))
+    assert {(r.ent, r.label) for r in pipeline.entities(rows, asked).collect()} == {("Anna Maier", "PERSON")}
+    gated = pipeline.Options(recognisers=[(spotted, 1.0)], target="en", translator=lambda texts, a, b: texts)  # what comes back is still German
+    assert {(r.doc_id, r.ent): (r.label, r.weight) for r in pipeline.entities(rows, gated).collect()} == base

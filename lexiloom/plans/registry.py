@@ -400,7 +400,44 @@ def overlap_merge(spark, sf_dir):
     return votes.merge(docs, detect.with_patterns(docs, WIDE_RULES))
 
 
-@query()
+NORMAL_DOCS_SQL = f"(SELECT doc_id, lang, {NORMAL_SQL} AS text FROM (SELECT doc_id, coalesce(lang, 'en') AS lang, coalesce(text, {_quote(tx.MISSING)}) AS text FROM documents))"
+_SUMMED = 'SELECT doc_id, ent, start, "end", label, signal, round(sum(weight), 6) AS weight FROM {} GROUP BY ALL'
+
+
+def _clean_sql(rows: str) -> str:
+    number = "regexp_matches(trim(ent), '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$') AND coalesce(try_cast(trim(ent) AS DOUBLE), 0) <> 0"
+    return f"(SELECT * FROM {rows} WHERE NOT (length(ent) < 4 AND {number}) AND NOT (length(ent) <= 1 AND NOT regexp_matches(ent, '{'|'.join(p for _, p in tx.SCRIPTS)}')))"
+
+
+def _best_sql(merged: str) -> str:
+    """A subquery with the spans of ``merged`` and their labels after roll-up, label rules and choice."""
+    named = sorted({x for goes, gets in votes.RULES for x in (goes, gets or "DATE")})
+    span = 'doc_id, ent, start, "end"'
+    sums = ", ".join(f"sum(weight) FILTER (label = '{x}') AS {x}" for x in named)
+    steps = [f"rolled AS (SELECT {span}, label, round(sum(weight), 6) AS weight FROM {merged} GROUP BY ALL)", f"s0 AS (SELECT {span}, {sums} FROM rolled GROUP BY ALL)"]
+    for k, (goes, gets) in enumerate(votes.RULES):
+        both = f"({goes} IS NOT NULL AND {gets or 'DATE'} IS NOT NULL)"
+        cols = [f"CASE WHEN NOT {both} THEN {x} END AS {x}" if x == goes else f"CASE WHEN {both} THEN round({x} + {goes}, 6) ELSE {x} END AS {x}" if x == gets else x for x in named]
+        steps.append(f"s{k + 1} AS (SELECT {span}, {', '.join(cols)} FROM s{k})")
+    rows = " UNION ALL ".join(f"SELECT {span}, '{x}' AS label, {x} AS weight FROM s{len(votes.RULES)} WHERE {x} IS NOT NULL" for x in named)
+    rows += f" UNION ALL SELECT {span}, label, weight FROM rolled WHERE label NOT IN ({', '.join(map(_quote, named))})"
+    pick = "struct_pack(w := -weight, l := label)"
+    return f"(WITH {', '.join(steps)} SELECT {span}, arg_min(label, {pick}) AS label, arg_min(weight, {pick}) AS weight FROM ({rows}) GROUP BY ALL)"
+
+
+def _rewritten_sql(spans: str, table: str, text: str, new: str) -> str:
+    """A subquery (doc_id, body, z, n): texts up to the last of ``spans`` with each replaced by ``new``, the end of that one, their number."""
+    return f"""(WITH k AS (SELECT *, row_number() OVER w - 1 AS k, coalesce(lag("end") OVER w, 0) AS upto FROM {spans} WINDOW w AS (PARTITION BY doc_id ORDER BY start, "end", ent))
+SELECT doc_id, string_agg(substr({text}, CAST(upto AS INTEGER) + 1, CAST(start - upto AS INTEGER)) || {new}, '' ORDER BY k) AS body, max("end") AS z, CAST(count(*) AS INTEGER) AS n FROM k JOIN {table} USING (doc_id) GROUP BY doc_id)"""
+
+
+@query(f"""
+WITH docs AS {NORMAL_DOCS_SQL},
+regex AS (SELECT doc_id, ent, start, start + length(ent) AS "end", label, 'regex' AS signal, {WEIGHT_SQL} AS weight FROM {_mentions_sql('docs')}),
+dict AS (SELECT * FROM {_dictionary_sql(DICTIONARY, ('PERSON', 'PUBLIC_FIGURE'), table='docs')} WHERE label = 'PUBLIC_FIGURE' AND contains(trim(ent), ' ')),
+found AS ({_SUMMED.format(_clean_sql('(SELECT * FROM regex UNION ALL SELECT * FROM dict)'))}),
+more AS ({_SUMMED.format(f"(SELECT * FROM found UNION ALL SELECT * FROM {_expand_sql('found')})")})
+SELECT * FROM {_best_sql(_merge_sql('more', 'docs'))}""")
 def ner_collapse(spark, sf_dir):
     return pipeline.entities(pipeline.normalized(_read(spark, sf_dir, "documents")), pipeline.Options(dictionary=_dictionary(spark)))
 
@@ -413,7 +450,12 @@ def mask_in_scope(spark, sf_dir):
     return replace.mask_patterns(_read(spark, sf_dir, "documents"), ("EMAIL",)).select("doc_id", F.md5("text_masked").alias("masked_md5"))
 
 
-@query()
+@query(f"""
+WITH docs AS {NORMAL_DOCS_SQL},
+regex AS (SELECT doc_id, ent, start, start + length(ent) AS "end", label, 'regex' AS signal, {WEIGHT_SQL} AS weight FROM {_mentions_sql('docs')}),
+found AS ({_SUMMED.format(_clean_sql('regex'))}), best AS (SELECT * FROM {_best_sql(_merge_sql('found', 'docs'))})
+SELECT d.doc_id, lang, CASE WHEN body IS NULL THEN text ELSE body || substr(text, CAST(z AS INTEGER) + 1) END AS text_anon, coalesce(n, 0) AS mentions
+FROM docs d LEFT JOIN {_rewritten_sql('best', 'docs', 'text', "'<' || label || '>'")} r ON r.doc_id = d.doc_id""")
 def anonymized_text(spark, sf_dir):
     scope = ("EMAIL", "ID", "IP_ADDRESS", "KEY", "PERSON", "PHONE")
     return pipeline.process(_read(spark, sf_dir, "documents"), pipeline.Options(scope=scope)).select("doc_id", "lang", "text_anon", F.size("ner_anon").alias("mentions"))
@@ -434,7 +476,10 @@ def keyed_fake_persons(spark, sf_dir):
     return _read(spark, sf_dir, "customer").select("c_custkey", replace.fake_person(F.concat(F.lit("Ana "), F.col("c_name")), F.get(F.lit(langs), (F.col("c_custkey") % len(langs)).cast("int"))).alias("person"))
 
 
-@query()
+@query(f"""
+WITH v AS ({VOTES_SQL}), spans AS (SELECT DISTINCT doc_id, ent, start, "end" FROM {_merge_sql('v')}), plain AS (SELECT doc_id, translate(text, '()', '{{}}') AS plain FROM documents)
+SELECT p.doc_id, CASE WHEN body IS NULL THEN plain ELSE replace(body || substr(plain, CAST(z AS INTEGER) + 1), '  ', ' ') END AS marked, n
+FROM plain p LEFT JOIN {_rewritten_sql('spans', 'plain', 'plain', "' ' || k || ' [ ' || translate(ent, '()', '{}') || ' ] '")} r ON r.doc_id = p.doc_id""")
 def marked_items(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     return replace.mark_items(docs, votes.merge(docs, detect.with_patterns(docs)).select(*votes.SPAN).distinct()).select("doc_id", "marked", F.size("items").alias("n"))

@@ -12,7 +12,7 @@ from lexiloom.operators import align, replace
 from lexiloom.plans import registry, rules
 from lexiloom.streaming import documents as streams
 
-NAMES = sorted(n for n, f in registry.queries().items() if f.__module__ == rules.__name__) + ["answer_prompts", "dictionary_mentions", "lang_agreement_boost", "lang_argmax", "language_gate", "mask_in_scope", "overlap_merge", "pf_expand"]
+NAMES = sorted(n for n, f in registry.queries().items() if f.__module__ == rules.__name__) + ["answer_prompts", "dictionary_mentions", "lang_agreement_boost", "lang_argmax", "language_gate", "anonymized_text", "marked_items", "mask_in_scope", "ner_collapse", "overlap_merge", "pf_expand"]
 
 
 @pytest.fixture(scope="module")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +55,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Ask the JVM to notice that shuffles and checkpoints are no longer referred to, so their files go before the next search."""
+    for _ in range(3):  # what is found unused in one round holds what can be found in the next; the last job's plan is held until another one runs
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+        spark.range(1).collect()
+
+
 def slim(docs: DataFrame, *wanted: str) -> DataFrame:
     """Only the columns an operator reads; other columns, whatever their names, never meet its own."""
     return docs.select(*[F.col(f"`{c}`") for c in wanted])

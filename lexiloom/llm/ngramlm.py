@@ -27,18 +27,16 @@ Defined results
 
 from __future__ import annotations
 
-import gc
 import math
-import time
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import cut, partitions, remote, slim
+from .common import cut, partitions, release, remote, slim
 
 FIRST, WIDER, SMOOTH = 3, 2, 1.0
 CHUNK_WORDS, CHUNK_DOCS, SHARD_WORDS = 1_200_000, 200_000, 2_000_000
@@ -458,15 +456,6 @@ def finish(table: pa.Table) -> pa.Table:
 # ---- plan ------------------------------------------------------------------------------------------
 
 
-def release(spark: SparkSession) -> None:
-    """Ask the JVM to notice that shuffles and checkpoints are no longer referred to, so their files go before the next search."""
-    for _ in range(3):  # what is found unused in one round holds what can be found in the next; the last job's plan is held until another one runs
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-        spark.range(1).collect()
-
-
 def vocabulary(chunks: DataFrame) -> tuple[DataFrame, dict]:
     """(w, id from 1 by falling frequency) of all words of the corpus, and the frequencies with the first number of each."""
     counts = chunks.where(F.col("kind") == CORPUS).select("words", "times").mapInArrow(remote(__name__, "word_counts"), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,8 @@ from ..functions import arrow, tables
 from ..functions import text as tx
 
 MANY_TO_MANY = "m2m100_418M"
+#: Pairs for which that model has been tuned.
+TUNED = {("en", "yo"): "eng-yor", ("yo", "en"): "yor-eng", ("en", "zu"): "en-zu", ("zu", "en"): "zu-en"}
 NO_SPACES = ("zh", "ja", "ki")
 
 
@@ -50,9 +53,10 @@ def models(spark: SparkSession) -> DataFrame:
 
 
 def route(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (src, tgt) with the model of the pair, or the model for many languages where there is none."""
+    """``pairs`` (src, tgt) with the model of the pair, or the model for many languages where there is none, tuned if it is for the pair."""
     table = models(pairs.sparkSession)
-    return pairs.join(F.broadcast(table), ["src", "tgt"], "left").withColumn("model", F.coalesce("model", F.lit(MANY_TO_MANY)))  # 1,324 rows
+    tuned = reduce(lambda rest, x: F.when((F.col("src") == x[0][0]) & (F.col("tgt") == x[0][1]), f"{MANY_TO_MANY}-{x[1]}-mt").otherwise(rest), TUNED.items(), F.lit(MANY_TO_MANY))
+    return pairs.join(F.broadcast(table), ["src", "tgt"], "left").withColumn("model", F.coalesce("model", tuned))  # 1,324 rows
 
 
 def pivots(spark: SparkSession) -> DataFrame:

@@ -47,6 +47,13 @@ RULES = (
 )
 
 
+#: Rules for user names and number plates, which need their context to be told.
+CONTEXT_RULES = (
+    Rule("USER", "@[A-Za-z][A-Za-z0-9_]{2,}", "(?i)user|account|handle|follow|profile", "@"),
+    Rule("LICENSE_PLATE", "[A-Z]{1,3}[ -][0-9]{3,4}[A-Z]{0,2}", "(?i)plate|licen[cs]e|registration|vehicle"),
+)
+
+
 def vote(ent: Column, weight: float) -> Column:
     return F.round(F.lit(weight) * (1.0 + F.length(ent) / 100), 6)
 

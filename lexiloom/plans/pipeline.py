@@ -113,7 +113,7 @@ def translated(docs: DataFrame, spans: DataFrame, options: Options) -> tuple[Dat
     made = made.where(F.col("translated") != tx.MISSING).withColumn("b", align.bracket_links(align.repair_brackets(F.col("translated")), F.coalesce(F.size("items"), F.lit(0)), F.lit(options.target)))
     made = made.select("doc_id", "domain", F.col("b.text").alias("text"), F.col("b.links").alias("links"), "items")
     if options.gate:
-        made = language.with_best_language(made)
+        made = language.with_best_language(made.withColumn("shown", language.clipped(F.col("text"))), text_column="shown").drop("shown")
         made = made.where(F.col("best.best_lang").isNull() | (F.col("best.best_lang") == options.target)).drop("best")
     made = settled(made)
     links = made.select("doc_id", "items", F.inline("links")).withColumn("m", F.get("items", F.col("item")))

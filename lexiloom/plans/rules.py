@@ -233,6 +233,25 @@ def repaired_brackets(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", align.repair_brackets(marked).alias("repaired"))
 
 
+_CARD = "CASE o_orderkey % 3 WHEN 0 THEN 'follow @clerk_' || o_custkey || ', profile' WHEN 1 THEN 'number plate AB-' || lpad((o_custkey % 9999)::VARCHAR, 4, '0') || ' seen' ELSE 'mail @nobody or AB-1234 far from it' END"
+CARDS_SQL = f"(SELECT o_orderkey AS doc_id, {_CARD} AS text FROM orders)"
+
+
+@query(f"SELECT doc_id, ent, start, label FROM {_mentions_sql(CARDS_SQL, rules=detect.CONTEXT_RULES)}")
+def context_rules(spark, sf_dir):
+    card = _CARD.replace("(o_custkey % 9999)::VARCHAR", "CAST(o_custkey % 9999 AS STRING)")
+    rows = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(card).alias("text"))
+    return detect.with_patterns(rows, detect.CONTEXT_RULES).select("doc_id", "ent", "start", "label")
+
+
+@query(f"""SELECT src, tgt, coalesce(model, CASE {' '.join(f"WHEN src = '{a}' AND tgt = '{b}' THEN '{align.MANY_TO_MANY}-{m}-mt'" for (a, b), m in align.TUNED.items())} ELSE '{align.MANY_TO_MANY}' END) AS model
+FROM (SELECT a.lang AS src, b.lang AS tgt FROM {_values(sorted((x,) for x in tables.stopwords()), 'lang')} JOIN {_values(sorted((x,) for x in tables.stopwords()), 'lang').replace(' AS t(', ' AS u(')} ON t.lang <> u.lang
+) LEFT JOIN {_values(sorted((r['src'], r['tgt'], r['model']) for r in tables.table('translation_models').to_pylist()), 'src, tgt, model')} USING (src, tgt)""".replace("SELECT a.lang AS src, b.lang AS tgt", "SELECT t.lang AS src, u.lang AS tgt"))
+def model_of_every_pair(spark, sf_dir):
+    langs = sorted(tables.stopwords())
+    return align.route(spark.createDataFrame([(a, b) for a in langs for b in langs if a != b], "src string, tgt string")).select("src", "tgt", "model")
+
+
 # ---- invented values -------------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from ..functions import text as tx
 from ..operators import align, detect, prompts, replace, votes
 from ..sources import documents, shared
 from ..streaming import documents as streams
-from .registry import LINE_SQL, VOTES_SQL, _line_votes, _mentions_sql, _pick_sql, _quote, _read, _replaces, _values, query
+from .registry import LINE_SQL, PERSON_LANGS, SQL, VOTES_SQL, _line_votes, _mentions_sql, _pick_sql, _quote, _read, _replaces, _values, query
 
 
 # ---- sources and sinks -----------------------------------------------------------------------------
@@ -272,23 +272,29 @@ def invented_values(spark, sf_dir):
     return _read(spark, sf_dir, "customer").select("c_custkey", replace.fake_state(c, lang).alias("state"), replace.fake_address(c, lang).alias("address"), replace.fake_email(c).alias("email"), replace.fake_ssn(c).alias("ssn"))
 
 
-def _person_sql() -> str:
-    """The same names as ``fake_person`` gives 'Ana ' and the customer's name: a first word and a last one."""
-    head, tail = "'ana'", "lower(string_split(c_name, ' ')[-1])"
+def _person_sql(langs: tuple[str, ...]) -> str:
+    """The same names as ``fake_person`` gives 'Ana ' and the customer's name, by the customer's number and language."""
+    ent, head, tail = "'Ana ' || c_name", "'ana'", "lower(string_split(c_name, ' ')[-1])"
+    whole = f"lower({ent})"
     woman = f"{_number_sql(head, 'sex')} % 2 = 1"
 
+    def by_sex(men, women, key: str, salt: str) -> str:
+        return _pick_sql(men, key, salt) if men == women else f"CASE WHEN {woman} THEN {_pick_sql(women, key, salt)} ELSE {_pick_sql(men, key, salt)} END"
+
     def one(lang: str) -> str:
         lists = replace.name_lists(lang)
-        first = f"CASE WHEN {woman} THEN {_pick_sql(lists['first_female'], head, 'first')} ELSE {_pick_sql(lists['first_male'], head, 'first')} END"
-        return f"{first} || ' ' || {_pick_sql(lists['last'], tail, 'last')}"
+        if lang in replace.WIDE:
+            return f"{_pick_sql(lists['last'], f'left({ent}, 1)', 'last')} || {_pick_sql(lists['first_male'], f'substr({ent}, 2, 10)', 'first')}"
+        first, last = by_sex(lists["first_male"], lists["first_female"], head, "first"), _pick_sql(lists["last"], tail, "last")
+        if lang == "vi":
+            middle = [f"CASE WHEN {_number_sql(whole, f'some{k}')} % 2 = 1 THEN {by_sex(lists[f'middle_{k}_male'], lists[f'middle_{k}_female'], whole, f'middle{k}')} END" for k in ("first", "second")]
+            return f"concat_ws(' ', {last}, {', '.join(middle)}, {first})"
+        return f"{first} || ' ' || {last}"
 
-    return f"SELECT c_custkey, CASE c_custkey % 5 {' '.join(f'WHEN {k} THEN {one(x)}' for k, x in enumerate(('en', 'ca', 'bn', 'yo', 'xh')))} END AS person FROM customer"
+    return f"SELECT c_custkey, CASE c_custkey % {len(langs)} {' '.join(f'WHEN {k} THEN {one(x)}' for k, x in enumerate(langs))} END AS person FROM customer"
 
 
-@query(_person_sql())
-def invented_persons(spark, sf_dir):
-    lang = F.get(F.lit(["en", "ca", "bn", "yo", "xh"]), (F.col("c_custkey") % 5).cast("int"))
-    return _read(spark, sf_dir, "customer").select("c_custkey", replace.fake_person(F.concat(F.lit("Ana "), F.col("c_name")), lang).alias("person"))
+SQL["keyed_fake_persons"] = _person_sql(PERSON_LANGS)
 
 
 # ---- questions -------------------------------------------------------------------------------------

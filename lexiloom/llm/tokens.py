@@ -23,7 +23,7 @@ from .common import remote, slim
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK, PERCENTILE = 128, 90
+BLOCK, PERCENTILE, TOGETHER = 128, 90, 400_000
 SCHEMA = "doc_id long, n_tokens int, block_starts array<int>, payload binary"
 _encoders: dict = {}
 
@@ -40,15 +40,23 @@ def encoder(path: str):
 
 def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> tuple[bytes, list[int]]:
     """(payload, starts of its blocks)."""
-    n = len(ids)
-    blocks = -(-n // block)
-    if not blocks:
-        return b"PFR1" + struct.pack("<HII", block, 0, 0), []
-    grid = np.full(blocks * block, 0, np.uint32)
-    grid[:n] = ids
-    grid[n:] = ids[-1]
+    return pack_many([ids], block, percentile)[0]
+
+
+def pack_many(every: list[np.ndarray], block: int = BLOCK, percentile: float = PERCENTILE) -> list[tuple[bytes, list[int]]]:
+    """The same for several texts, whose blocks are worked out together."""
+    sizes = np.array([len(x) for x in every], np.int64)
+    counts = -(-sizes // block)
+    ends = np.cumsum(counts)
+    blocks = int(counts.sum())
+    grid = np.zeros(blocks * block, np.uint32)
+    for ids, n, e, c in zip(every, sizes.tolist(), ends.tolist(), counts.tolist()):
+        if n:
+            at = (e - c) * block
+            grid[at : at + n] = ids
+            grid[at + n : e * block] = ids[-1]
     grid = grid.reshape(blocks, block)
-    low = grid.min(axis=1)
+    low = grid.min(axis=1) if blocks else np.zeros(0, np.uint32)
     far = grid - low[:, None]
     rank = min(block - 1, int(np.ceil(block * percentile / 100)) - 1)
     at = np.partition(far, rank, axis=1)[:, rank]
@@ -56,24 +64,27 @@ def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) ->
     outside = far >= (np.uint64(1) << width.astype(np.uint64))[:, None]
     inside = np.where(outside, 0, far).astype(np.uint32)
     packed: list = [b""] * blocks
-    for w in np.unique(width):
-        rows = np.flatnonzero(width == w)
-        if w:
-            bits = (inside[rows][:, None, :] >> np.arange(w, dtype=np.uint32)[None, :, None]).astype(np.uint8) & 1
-            for r, x in zip(rows, np.packbits(bits, axis=2, bitorder="little").reshape(len(rows), -1)):
-                packed[r] = x.tobytes()
+    for w in np.unique(width).tolist():
+        some = np.flatnonzero(width == w) if w else np.zeros(0, np.int64)
+        for k in range(0, len(some), 4_096):  # a byte for each bit meanwhile
+            rows = some[k : k + 4_096]
+            bits = np.stack([(inside[rows] >> np.uint32(j)).astype(np.uint8) & 1 for j in range(w)], axis=1)
+            raw, size = np.packbits(bits, axis=2, bitorder="little").tobytes(), w * block // 8
+            for j, r in enumerate(rows.tolist()):
+                packed[r] = raw[j * size : j * size + size]
     row, place = np.nonzero(outside)
-    value = far[row, place].astype("<u4")
+    value, place = far[row, place].astype("<u4").tobytes(), place.astype(np.uint8).tobytes()
     edge = np.searchsorted(row, np.arange(blocks + 1))
-    place = place.astype(np.uint8)
-    parts, starts, total = [], [], 0
-    for i in range(blocks):
-        a, z = edge[i], edge[i + 1]
-        x = struct.pack("<IBB", low[i], width[i], z - a) + packed[i] + place[a:z].tobytes() + value[a:z].tobytes()
-        starts.append(total)
-        total += len(x)
-        parts.append(x)
-    return b"".join([b"PFR1", struct.pack("<HII", block, n, blocks), np.array(starts, "<u4").tobytes(), *parts]), starts
+    heads = np.zeros(blocks, np.dtype([("low", "<u4"), ("width", "u1"), ("odd", "u1")]))
+    heads["low"], heads["width"], heads["odd"] = low, width, np.diff(edge)
+    heads, edge = heads.tobytes(), edge.tolist()
+    parts = [heads[6 * i : 6 * i + 6] + x + place[a:z] + value[4 * a : 4 * z] for i, (x, a, z) in enumerate(zip(packed, edge, edge[1:]))]
+    out = []
+    for n, c, e in zip(sizes.tolist(), counts.tolist(), ends.tolist()):
+        own = parts[e - c : e]
+        starts = np.cumsum([0, *map(len, own)])[:-1]
+        out.append((b"".join([b"PFR1", struct.pack("<HII", block, n, c), starts.astype("<u4").tobytes(), *own]), starts.tolist()))
+    return out
 
 
 def unpack_block(payload: bytes, k: int) -> np.ndarray:
@@ -98,17 +109,26 @@ def unpack(payload: bytes) -> np.ndarray:
 
 def encode(batches, path: str, block: int, percentile: float):
     enc = encoder(path)
+
+    def made(ids, held):
+        done = iter(pack_many([x for x in held if x is not None], block, percentile))
+        rows = [(i, None, None, None) if x is None else (i, len(x), *reversed(next(done))) for i, x in zip(ids, held)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary()))], ["doc_id", "n_tokens", "block_starts", "payload"])
+
     for b in batches:
         ids, texts = b.column(0).to_pylist(), b.column(1)
-        for k in range(0, len(ids), 500):
-            counts, starts, payloads = [], [], []
-            for t in texts.slice(k, 500).to_pylist():
-                x = None if t is None else enc.encode_ordinary(t)
-                counts.append(None if x is None else len(x))
-                p, s = (None, None) if x is None else pack(np.array(x, np.uint32), block, percentile)
-                payloads.append(p)
-                starts.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 500], pa.int64()), pa.array(counts, pa.int32()), pa.array(starts, pa.list_(pa.int32())), pa.array(payloads, pa.binary())], ["doc_id", "n_tokens", "block_starts", "payload"])
+        for k in range(0, len(ids), 200):
+            own, held, size = [], [], 0
+            for i, t in zip(ids[k : k + 200], texts.slice(k, 200).to_pylist()):
+                x = None if t is None else np.array(enc.encode_ordinary(t), np.uint32)
+                if held and size + (0 if x is None else len(x)) > TOGETHER:
+                    yield made(own, held)
+                    own, held, size = [], [], 0
+                own.append(i)
+                held.append(x)
+                size += 0 if x is None else len(x)
+            if held:
+                yield made(own, held)
 
 
 def decode(batches, path: str):

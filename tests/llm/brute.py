@@ -213,3 +213,14 @@ def language(text, model, dims=2048):
                 sums[b] -= m
     best = min(model["langs"][family], key=lambda z: (-votes[z], -sums[z], z))
     return family, best, min(lead, sums[best])
+
+
+def packed_block(ids, percentile=90):
+    """One whole block, value by value: least value, width, number of exceptions, bit planes, places and values of exceptions."""
+    low = min(ids)
+    far = [x - low for x in ids]
+    width = sorted(far)[math.ceil(len(ids) * percentile / 100) - 1].bit_length()
+    odd = [(i, x) for i, x in enumerate(far) if x >= 2**width]
+    kept = [0 if x >= 2**width else x for x in far]
+    planes = b"".join(sum((kept[j] >> w & 1) << j for j in range(len(ids))).to_bytes(len(ids) // 8, "little") for w in range(width))
+    return low.to_bytes(4, "little") + bytes([width, len(odd)]) + planes + bytes(i for i, _ in odd) + b"".join(x.to_bytes(4, "little") for _, x in odd)

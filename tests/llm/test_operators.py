@@ -188,6 +188,17 @@ def test_patched_blocks_of_any_values():
             assert np.array_equal(tokens.unpack(tokens.pack(ids)[0]), ids)
 
 
+def test_blocks_against_a_plain_packer():
+    rng = np.random.default_rng(5)
+    every = [rng.integers(0, top, n, dtype=np.uint64).astype(np.uint32) for n, top in ((128, 9), (256, 50_000), (0, 5), (384, 2**32), (128, 1))]
+    every[1][::37] = 4_000_000_000
+    for ids, (payload, starts) in zip(every, tokens.pack_many(every)):
+        head = 14 + 4 * len(starts)
+        blocks = [brute.packed_block(list(map(int, ids[k : k + 128]))) for k in range(0, len(ids), 128)]
+        assert payload[head:] == b"".join(blocks) and payload == tokens.pack(ids)[0]
+        assert starts == [sum(map(len, blocks[:k])) for k in range(len(blocks))]
+
+
 # ---- 4 ----
 
 

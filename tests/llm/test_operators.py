@@ -295,6 +295,78 @@ def test_candidate_lists_against_all_pairs():
     assert want <= got and want
 
 
+def near_copies(number, words=12):
+    """The packed lists of so many sets that differ in a n-gram or two, in one bucket; the sets."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(number):
+        g = np.arange(words, dtype=np.uint64)
+        g[rng.integers(0, words, 2)] = rng.integers(100, 10**9, 2).astype(np.uint64)
+        sets.append(np.unique(g))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(number)), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "size", "grams"])
+    return list(jaccard.postings(iter([rows]), 0.5, 1)), sets
+
+
+def test_candidates_of_many_near_copies_hold_few_pairs(monkeypatch):
+    """What a task holds is bounded however many pairs its lists have, and no count is lost or made twice where they are sent in parts."""
+    import tracemalloc
+
+    blocks, sets = near_copies(600)
+    monkeypatch.setattr(jaccard, "FOLD", 10_000)
+    monkeypatch.setattr(jaccard, "PAIRS", 10_000)
+    monkeypatch.setattr(jaccard, "PART", 60)  # two parts have about a third of PAIRS, as by default
+    tracemalloc.start()
+    sent = sum(map(len, jaccard.candidate_batches(iter(blocks), 0.5)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8_000_000  # the pairs' own columns alone are 600 * 599 / 2 * 48 bytes, and sorting took as much again
+    assert 600 * 599 // 2 <= sent < 2 * 600 * 599 // 2
+    got, after = Counter(), {}
+    for b in jaccard.candidate_batches(iter(blocks), 0.5):
+        for x, y, nx, ny, c, left in zip(*(v.to_pylist() for v in b.columns)):
+            assert x < y and (nx, ny) == (len(sets[x]), len(sets[y]))
+            got[x, y] += c
+            after[x, y] = min(left, after.get((x, y), left))
+    monkeypatch.setattr(jaccard, "PART", 1_000)
+    monkeypatch.setattr(jaccard, "PAIRS", 10_000_000)
+    whole = [r for b in jaccard.candidate_batches(iter(blocks), 0.5) for r in zip(*(v.to_pylist() for v in b.columns))]
+    assert len(whole) == len(got) and {(x, y): (c, left) for x, y, _, _, c, left in whole} == {k: (got[k], after[k]) for k in got}
+
+
+def test_document_lists_are_spread_over_buckets():
+    """The bucket that brings a chunk's documents along is not the same one for all chunks."""
+    import pyarrow as pa
+
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("grams", pa.binary()), ("docs", pa.binary())])
+    grams = kernel.mix(np.arange(4_000, dtype=np.uint64))
+    homes = Counter()
+    for part in range(8):
+        for number in range(8):
+            (b,) = jaccard._chunk([np.arange(40)], [np.full(40, 100)], [grams], 16, part << 24 | number, schema)
+            homes.update(x["bucket"] for x in b.to_pylist() if x["docs"])
+    assert sum(homes.values()) == 64 and max(homes.values()) <= 12
+
+
+def test_cells_are_bounded_by_bytes(spark, monkeypatch):
+    """Large sets make small cells."""
+    held = []
+    monkeypatch.setattr(jaccard, "CELL_BYTES", 4_000)
+    cut = jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df: held.append(df) or cut(df))
+    rng = random.Random(8)
+    texts = []
+    for i in range(60):
+        w = [f"w{k}" for k in range(120)]
+        w[rng.randrange(120)] = f"z{i}"
+        texts.append((i, " ".join(w)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert linked(df) == brute.classes(texts) == {(i, 0, 59) for i in range(60)}
+    cells = next(x for x in held if x.columns == ["sid", "links", "peer"])
+    assert cells.groupBy("sid").count().agg(F.max("count")).first()[0] > 5  # a set is in a cell with each other part
+
+
 def test_groups_of_a_long_chain(spark):
     n = 300
     ids = random.Random(5).sample(range(10 * n), n)  # each text is similar to the next only

@@ -12,7 +12,10 @@ Defined results
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexiloom.llm import decontam, jaccard, mix, quality, shard
 from lexiloom.llm.common import checkpoint_root, remove
@@ -34,17 +37,38 @@ def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontam.drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def ordered_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order: every one is placed once, where its source's weight schedule asks for it. The stage only orders: no document is cut or repeated."""
-    return mix.mix(docs, budget=None).select(*[f"`{c}`" for c in docs.columns])
+#: The key in the metadata of doc_id under which a table of ordered documents names the plan of its order.
+ORDER = "training_order"
+
+
+def ordered_documents(spark: SparkSession, docs: DataFrame, sf_dir: str, **how) -> DataFrame:
+    """Documents in training order: every one is placed once, where its source's weight schedule asks for it. The stage only orders: no document is cut or repeated.
+
+    A written table keeps no order of rows, and the stage's columns are those of ``documents``. So the order goes on as its plan: a row for each source in the shared folder,
+    which the metadata of doc_id names; they are written with the table. ``how``: other schedules or powers than the default.
+    """
+    from uuid import uuid4
+
+    at = f"{checkpoint_root(spark)}/mixing-{uuid4().hex}"
+    lookup, rest = mix.plan(docs, budget=None, **how)
+    lookup.write.parquet(at)
+    out = mix.place(docs, spark.read.parquet(at), **rest)
+    held = docs.schema["doc_id"].metadata | {ORDER: json.dumps({"at": at} | rest)}
+    return out.select(*[F.col(f"`{c}`").alias(c, metadata=held) if c == "doc_id" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def sharded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their position in training order and the shard that the ring gives them, no shard above its bound.
 
-    A written table keeps no order of rows, so positions are computed from the rows again, which are those that the stage before has ordered.
+    Positions follow the plan of the stage before; documents that come without one are in no order, and their position is null.
     """
-    return shard.assign(mix.mix(docs, budget=None, sort=False).drop("epoch"))
+    told = docs.schema["doc_id"].metadata.get(ORDER)
+    if told is None:
+        placed = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in mix.ADDED], F.lit(None).cast("double").alias("position"))
+    else:
+        rest = json.loads(told)
+        placed = mix.place(docs, spark.read.parquet(rest.pop("at")), **rest, sort=False).drop("epoch")
+    return shard.assign(placed)
 
 
 STAGES = [
@@ -62,7 +86,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn over the documents of ``sf_dir``, with a written table between them in the shared checkpoint folder.
 
-    A table goes once the next one is written; the last stage's input stays, as the result is read from it.
+    A table goes once the next one is written; the last stage's input and the plan of its order stay, as the result is read from them.
     """
     from uuid import uuid4
 

@@ -92,6 +92,13 @@ def _tokens(text: str):
 def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", schedules: dict | None = None, budget: str | float | None = "all",
         start_power: float = 1.0, end_power: float = 0.5, bins: int = BINS, seed: int = SEED, sort: bool = True) -> DataFrame:
     """``docs`` with epoch (int) and position (double, 0 to 1), sorted by position. ``budget='all'``: as many tokens as the input has."""
+    lookup, how = plan(docs, source, key, text, schedules, budget, start_power, end_power, bins, seed)
+    return place(docs, lookup, **how, source=source, key=key, sort=sort)
+
+
+def plan(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", schedules: dict | None = None, budget: str | float | None = "all",
+         start_power: float = 1.0, end_power: float = 0.5, bins: int = BINS, seed: int = SEED) -> tuple[DataFrame, dict]:
+    """All that is decided about ``docs``: a row for each source, and the other arguments of ``place`` (which JSON can hold)."""
     src, h = F.col(f"`{source}`").cast("string"), _key(key, seed)
     width = (1 << 32) / bins
     rows = docs.select(src.alias("s"), F.floor(h / width).cast("int").alias("b"), _tokens(text).alias("n")).groupBy("s", "b").agg(F.sum("n").alias("n"))
@@ -104,6 +111,13 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str
         every[g] = w
     how |= {"every": every.tolist(), "budget": total if budget == "all" else budget, "bins": bins}
     lookup = hist.mapInArrow(remote(__name__, "plans", **how), "__s string, __before array<double>, __epochs double, __want array<double>")
+    return lookup, {"sources": sources, "bounded": budget is not None, "bins": bins, "seed": seed}
+
+
+def place(docs: DataFrame, lookup: DataFrame, sources: int, bounded: bool, bins: int = BINS, seed: int = SEED, source: str = "source", key: str = "doc_id", sort: bool = True) -> DataFrame:
+    """``docs`` with epoch and position as planned."""
+    src, h = F.col(f"`{source}`").cast("string"), _key(key, seed)
+    width = (1 << 32) / bins
     # the document travels as one struct, so no column of it can meet the columns added here
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED]).alias("row"), F.col(f"`{key}`").alias("__key"), src.alias("__source"), h.alias("__h"))
     joined = base.join(F.broadcast(lookup) if sources <= BROADCAST_ROWS else lookup, F.col("__source").eqNullSafe(F.col("__s")))
@@ -111,7 +125,7 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str
     lo, hi = F.element_at("__before", bin_ + 1), F.element_at("__before", bin_ + 2)
     at = lo + (hi - lo) * (F.col("__h") / width - bin_)
     joined = joined.withColumn("__at", at).withColumn("__total", F.element_at("__before", -1))
-    if budget is None:
+    if not bounded:
         epochs = F.array(F.lit(0))
     else:  # epoch e of a document asks for tokens e * total + at, which the demand must reach
         last = F.floor(F.col("__epochs") - F.col("__at") / F.col("__total"))

@@ -51,6 +51,19 @@ def test_training_order_reaches_the_shards(spark, small, tmp_path):
     assert got == {r.doc_id: r.position for r in mix.mix(docs, budget=None).collect()} and len(set(got.values())) > 0.9 * len(got)
 
 
+def test_the_mixing_stage_decides_the_order(spark, small, tmp_path):
+    """What the fourth stage plans is what the fifth does, also with schedules that the fifth doesn't know; without the stage there is no order."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    some = sorted(r.source for r in docs.select("source").distinct().collect() if r.source is not None)[0]
+    how = {"schedules": {some: [(0.0, 0.0), (0.5, 0.0), (0.6, 50.0), (1.0, 50.0)]}}
+    corpus_pipeline.ordered_documents(spark, docs, small, **how).write.parquet(f"{tmp_path}/other")
+    out = corpus_pipeline.sharded_documents(spark, spark.read.parquet(f"{tmp_path}/other"), small).collect()
+    assert {r.doc_id: r.position for r in out} == {r.doc_id: r.position for r in mix.mix(docs, budget=None, **how).collect()}
+    assert min(r.position for r in out if r.source == some) > 0.4
+    without = corpus_pipeline.sharded_documents(spark, docs, small).collect()
+    assert {r.position for r in without} == {None} and {(r.doc_id, r.shard) for r in without} == {(r.doc_id, r.shard) for r in out}
+
+
 def through(spark, docs, sf_dir, folder):
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")

@@ -76,17 +76,30 @@ def limited(docs: DataFrame, cutoff: int, key: str = "doc_id") -> DataFrame:
 
 
 def ranked(docs: DataFrame, key: str = "doc_id", name: str = "rank") -> DataFrame:
-    """``docs`` with their place (from 0) by key. A range sort, then counts of the partitions: no window over all rows in one task."""
+    """``docs`` with their place (from 0) by key, nulls last. Places are counted inside ranges of keys and offset by the counts of those before: no window over all rows in one task."""
+    return _placed(docs, key, name)[0]
+
+
+def _placed(docs: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
+    """(``ranked``'s rows, their number).
+
+    The first key of each range is fetched once and written into the plan, so a row's range depends on its key alone. The partitions of a range sort
+    are sampled and joined anew in every job: a count of them doesn't hold for the next one.
+    """
     spark = docs.sparkSession
-    ordered = docs.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = {r[0]: r[1] for r in ordered.groupBy("__part").count().toLocalIterator()}
-    start, offsets = 0, []
-    for part in sorted(counts):
-        offsets.append((part, start))
-        start += counts[part]
-    table = spark.createDataFrame(offsets or [(-1, 0)], "__part int, __first long")
-    out = ordered.join(F.broadcast(table), "__part").withColumn(name, F.col("__first") + F.col("__in"))  # a row for each partition
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c != name], name)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = docs.select(F.col(key).alias("k")).where("k is not null").repartitionByRange(parts, "k").groupBy(F.spark_partition_id()).agg(F.min("k").alias("k"))
+    firsts = sorted(r.k for r in ranges.collect())  # a row for each partition
+    below = F.size(F.filter(F.lit(firsts), lambda x: x <= F.col(key))) if firsts else F.lit(0)
+    rows = docs.withColumn("__range", F.when(F.col(key).isNull(), len(firsts) + 1).otherwise(below))
+    total, offsets = 0, []
+    for part, n in sorted(tuple(r) for r in rows.groupBy("__range").count().collect()):
+        offsets.append((part, total))
+        total += n
+    table = spark.createDataFrame(offsets or [(-1, 0)], "__range int, __first long")
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(F.col(key).asc_nulls_last())) - 1
+    out = rows.withColumn("__in", inside).join(F.broadcast(table), "__range").withColumn(name, F.col("__first") + F.col("__in"))  # a row for each range
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c != name], name), total
 
 
 def shard(docs: DataFrame, k: int, n: int, key: str = "doc_id") -> DataFrame:

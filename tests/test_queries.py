@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators import align, replace
 from lexiloom.plans import registry, rules
+from lexiloom.sources import documents
 from lexiloom.streaming import documents as streams
 
 NAMES = sorted(n for n, f in registry.queries().items() if f.__module__ == rules.__name__) + ["answer_prompts", "dictionary_mentions", "lang_agreement_boost", "lang_argmax", "language_gate", "anonymized_text", "marked_items", "mask_in_scope", "ner_collapse", "overlap_merge", "pf_expand"]
@@ -90,3 +91,19 @@ def test_names_that_take_many_trials(spark):
     taken = {r.name for r in known.collect()}
     assert got["Ana Gil"] not in taken and set(got) == {"Ana Gil", "Li"}
     assert {r.new for r in replace.without_known(names.where("lang = 'en'"), known, most=16).collect()} <= taken
+
+
+@pytest.fixture
+def many_parts(spark):
+    """Shuffles whose partitions aren't joined: what a sort samples shows."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_batches_of_more_rows_than_a_sort_samples(spark, many_parts):
+    rows = spark.range(30_000).select((F.col("id") * 7919 % 30_000).alias("doc_id")).repartition(6)
+    assert {r.doc_id: r.batch for r in documents.batches(rows).collect()} == {k: k // 25 for k in range(30_000)}
+    odd = spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "doc_id string")
+    assert sorted((r.rank, r.doc_id) for r in documents.ranked(odd).collect()) == [(0, "a"), (1, "b"), (2, "b"), (3, None)]
+    assert documents.batches(rows.where("doc_id < 0")).count() == 0

@@ -106,9 +106,8 @@ def shard(docs: DataFrame, k: int, n: int, key: str = "doc_id") -> DataFrame:
     """Part ``k`` of ``n`` (from 1) by order of key: equal parts, the last one also has the rest."""
     if not 1 <= k <= n:
         raise ValueError("k must be from 1 to n")
-    rows = docs.count()
+    placed, rows = _placed(docs, key, "__rank")
     size = rows // n
-    placed = ranked(docs, key, "__rank")
     inside = F.col("__rank") >= (k - 1) * size
     return placed.where(inside if k == n else inside & (F.col("__rank") < k * size)).drop("__rank")
 

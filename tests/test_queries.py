@@ -107,3 +107,9 @@ def test_batches_of_more_rows_than_a_sort_samples(spark, many_parts):
     odd = spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "doc_id string")
     assert sorted((r.rank, r.doc_id) for r in documents.ranked(odd).collect()) == [(0, "a"), (1, "b"), (2, "b"), (3, None)]
     assert documents.batches(rows.where("doc_id < 0")).count() == 0
+
+
+def test_shards_of_more_rows_than_a_sort_samples(spark, many_parts):
+    rows = spark.range(30_002).select((F.col("id") * 7919 % 30_002).alias("doc_id")).repartition(6)
+    got = [documents.shard(rows, k, 4).agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first() for k in (1, 2, 3, 4)]
+    assert [tuple(r) for r in got] == [(0, 7499, 7500), (7500, 14999, 7500), (15000, 22499, 7500), (22500, 30001, 7502)]

@@ -47,6 +47,20 @@ def running_sums(numbers: Column, block: int = 256) -> Column:
     return let(numbers, whole)
 
 
+def with_pieces(c: Column, spans: Column, block: int = 1024) -> Column:
+    """``spans`` (array<struct<start, end, votes>>) with ``piece``, what the text has there. The text is cut into blocks in one pass, so a piece doesn't cost the way to it from the text's start."""
+
+    def cut(blocks: Column) -> Column:
+        def piece(s: Column) -> Column:
+            first, last = (F.greatest(F.floor(x / block).cast("int"), F.lit(0)) for x in (s["start"], s["end"] - 1))
+            near = F.when(first == last, F.get(blocks, first)).otherwise(F.array_join(F.slice(blocks, first + 1, F.greatest(last - first + 1, F.lit(0))), ""))
+            return F.substring(near, s["start"] - first * block + 1, F.greatest(s["end"] - s["start"], F.lit(0)))
+
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), piece(s).alias("piece"), s["votes"].alias("votes")))
+
+    return let(F.regexp_extract_all(c, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)), cut)
+
+
 def replace_all(c: Column, pairs) -> Column:
     return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, c)
 

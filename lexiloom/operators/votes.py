@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables
@@ -83,15 +83,32 @@ def strip_span(ent: Column, start: Column, compat: bool = False) -> tuple[Column
     return F.btrim(ent, chars), start if compat else start + F.length(ent) - F.length(F.ltrim(ent, chars))
 
 
+def span_groups(votes: DataFrame, compat: bool = False) -> DataFrame:
+    """(doc_id, spans): ``merged_spans`` of each run of votes that overlap one after the other.
+
+    What begins where all spans before it have ended is always kept apart, so the fold goes over a run, never over all spans of a document. A run that lies within
+    its first span is that span with all votes, without a fold. Empty spans begin no run: their votes go to the span before.
+    """
+    order = Window.partitionBy("doc_id").orderBy("start", F.col("end").desc())
+    upto = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = votes.select("doc_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.struct("label", "signal", "weight").alias("v")).withColumn("__upto", upto)
+    apart = (F.col("start") > F.col("__upto") if compat else F.col("start") >= F.col("__upto")) & (F.col("end") > F.col("start"))
+    rows = rows.withColumn("__run", F.sum(F.when(apart, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    first = F.max(F.struct((-F.col("start")).alias("s"), F.col("end").alias("z")))
+    runs = rows.groupBy("doc_id", "__run").agg(first.alias("first"), F.max("end").alias("z"), F.array_sort(F.collect_list(F.struct("start", "end", "v"))).alias("m"))
+    whole = F.array(F.struct((-F.col("first.s")).alias("start"), F.col("z").alias("end"), F.transform("m", lambda x: x["v"]).alias("votes")))
+    folded = merged_spans(F.transform("m", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.array(x["v"]).alias("votes"))), compat)
+    single = F.size("m") == 1 if compat else (F.col("first.z") == F.col("z")) & (F.col("z") > -F.col("first.s"))
+    return runs.select("doc_id", F.when(single, whole).otherwise(folded).alias("spans"))
+
+
 def merge(docs: DataFrame, votes: DataFrame, compat: bool = False) -> DataFrame:
-    """Votes on spans that don't overlap: (doc_id, ent, start, end, label, signal, weight). Only votes are shuffled; texts are met in the join by doc_id."""
-    spans = votes.groupBy("doc_id", "start", "end").agg(F.array_sort(F.collect_list(F.struct("label", "signal", "weight"))).alias("votes"))
-    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "votes")).alias("spans"))
-    rows = lists.select("doc_id", F.explode_outer(merged_spans(F.col("spans"), compat)).alias("s")).where("s is not null").select("doc_id", "s.*")
-    rows = rows.join(docs.select("doc_id", "text"), "doc_id")
-    raw = F.substring("text", F.col("start") + 1, F.greatest(F.col("end") - F.col("start"), F.lit(0)))
-    ent, start = strip_span(F.col("raw"), F.col("start"), compat)
-    rows = rows.withColumn("raw", raw).select("doc_id", ent.alias("ent"), start.alias("start"), "votes").where("ent <> ''")
+    """Votes on spans that don't overlap: (doc_id, ent, start, end, label, signal, weight). Only votes are shuffled; texts are met in the join by doc_id, once for each document."""
+    lists = span_groups(votes, compat).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    rows = lists.join(docs.select("doc_id", "text"), "doc_id")
+    rows = rows.select("doc_id", F.explode_outer(tx.with_pieces(F.col("text"), F.col("spans"))).alias("s")).where("s is not null").select("doc_id", "s.*")
+    ent, start = strip_span(F.col("piece"), F.col("start"), compat)
+    rows = rows.select("doc_id", ent.alias("ent"), start.alias("start"), "votes").where("ent <> ''")
     rows = rows.select("doc_id", "ent", "start", (F.col("start") + F.length("ent")).alias("end"), F.inline("votes"))
     return rows.groupBy(*SPAN, "label", "signal").agg(F.round(F.sum("weight"), 6).alias("weight"))
 

@@ -1,7 +1,7 @@
 """Language identification and quality scoring: stopword shares, groups of languages that are easily confused, the agreement rule, gates.
 
-The stopword table has fixed size (22,614 words) and is loaded once by each worker. Scores are worked out within the row, in one Arrow pass: no word
-leaves its text, nothing is shuffled, and repeated rows of a doc_id don't add up.
+The stopword table has fixed size (22,614 words) and is loaded once by each worker. Scores are worked out within the row, in one Arrow pass that
+holds one text at a time besides its batch: no word leaves its text, nothing is shuffled, and repeated rows of a doc_id don't add up.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections import Counter
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +44,7 @@ def _character_score(lang: str, doc: str) -> float | None:
     return CJK_SCALE * hits / units if units else None
 
 
-def own_scores(lang: pd.Series, doc: pd.Series) -> pd.Series:
+def own_scores(lang: pa.Array, doc: pa.Array) -> pa.Array:
     table = tables.stopwords()
 
     def one(lang, doc):
@@ -57,15 +57,15 @@ def own_scores(lang: pd.Series, doc: pd.Series) -> pd.Series:
         words, known = doc.lower().split(), table[lang]
         return sum(w in known for w in words) / len(words) if words else None
 
-    return pd.Series([one(x, d) for x, d in zip(lang, doc)], dtype="float64")
+    return pa.array([one(x.as_py(), d.as_py()) for x, d in zip(lang, doc)], pa.float64())
 
 
 _by_word: dict[str, dict[str, tuple[str, ...]]] = {}
 
 
-def best_scores(languages: pd.Series, doc: pd.Series) -> pd.DataFrame:
+def best_scores(languages: pa.Array, doc: pa.Array) -> pa.Array:
     """``languages``: the same on all rows, names apart by spaces; none for all that have a list."""
-    key = languages.iloc[0] if len(languages) else ""
+    key = languages[0].as_py() if len(languages) else ""
     if key not in _by_word:
         of: dict[str, list[str]] = {}
         for lang in key.split() or sorted(tables.stopwords()):
@@ -82,11 +82,12 @@ def best_scores(languages: pd.Series, doc: pd.Series) -> pd.DataFrame:
         lang = min(hits, key=lambda x: (-hits[x], x))
         return lang, hits[lang] / len(words)
 
-    return pd.DataFrame([one(t) for t in doc], columns=["best_lang", "score"])
+    found = [one(t.as_py()) for t in doc]
+    return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["best_lang", "score"])
 
 
-_own_score = arrow.udf(__name__, "own_scores", "double")
-_best_score = arrow.udf(__name__, "best_scores", "struct<best_lang:string,score:double>")
+_own_score = arrow.udf(__name__, "own_scores", "double", arrays=True)
+_best_score = arrow.udf(__name__, "best_scores", "struct<best_lang:string,score:double>", arrays=True)
 
 
 def stopword_score(docs: DataFrame, text_column: str = "text", lang: str = "lang") -> DataFrame:

@@ -1,3 +1,6 @@
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -113,3 +116,14 @@ def test_tables(spark):
     assert tables.locales("ca") == ("es_CA", "es_ES", "es_MX") and tables.locales("yo") == ("en_GB",) and tables.locales("bn") == ("hi_IN",)
     assert {r.lang: r.max_len for r in language.longest_stopword(spark).collect()}["zh"] == 6
     assert not any(" " in w for ws in tables.stopwords().values() for w in ws)
+
+
+def test_language_scores_hold_one_text_at_a_time():
+    texts = pa.array(["the and of " + "x" * 20_000] * 400)
+    tracemalloc.start()
+    best = language.best_scores(pa.array(["de en"] * 400), texts)
+    own = language.own_scores(pa.array(["en"] * 400), texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {x["best_lang"] for x in best.to_pylist()} == {"en"} and set(own.to_pylist()) == {0.75}
+    assert peak < 4_000_000  # the texts have eight million

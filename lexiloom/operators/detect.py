@@ -11,9 +11,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import text as tx
@@ -21,7 +22,7 @@ from ..functions import text as tx
 MENTION = "doc_id long, ent string, start int, end int, label string, signal string, weight double"
 REGEX_WEIGHT, DICTIONARY_WEIGHT, NEAR = 1.5, 0.85, 20
 CAPITALISED = ("PERSON", "PUBLIC_FIGURE", "ORG", "LOC")
-NGRAM, OPEN_LENGTH, BROADCAST_KEYS = 5, 20, 200_000
+NGRAM, OPEN_LENGTH, BROADCAST_KEYS, HITS = 5, 20, 200_000, 1_000
 
 
 @dataclass(frozen=True)
@@ -122,10 +123,14 @@ def ngrams(docs: DataFrame, most: int = NGRAM, text: str = "text", compat: bool
 
 
 def known_ngrams(docs: DataFrame, keys: frozenset[str], most: int = NGRAM, compat: bool = False) -> DataFrame:
-    """The rows of ``ngrams`` whose key is in ``keys``, in one Arrow pass: only words that some key begins with are looked at more closely."""
+    """The rows of ``ngrams`` whose key is in ``keys``, and their text ``ent``, in one Arrow pass: only words that some key begins with are looked at more closely.
+
+    A worker holds one text at a time besides the batch as it came, and hands its hits on before the next text once there are HITS of them.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(keys)
     strip = tx.STRIP
-    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("i int, n int, key string, first string, last string, start int, end int").fields])
+    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("i int, n int, key string, first string, last string, start int, end int, ent string").fields])
+    arrow = to_arrow_schema(schema)
 
     def hits(text: str, known: frozenset, heads: set):
         toks = [(m.group(), m.start()) for m in re.finditer(r"\S+", text)]
@@ -141,16 +146,27 @@ def known_ngrams(docs: DataFrame, keys: frozenset[str], most: int = NGRAM, compa
                     last, last_at = toks[i + n - 1]
                     tail = len(last) - len(last.rstrip(strip))
                     tail = max(tail - 1, 0) if len(last) in (2, 3) and last.endswith(".") else tail  # U.S. keeps its full stop
-                    yield i, n, key, tok, last, at + len(tok) - len(bare), last_at + len(last) - tail
+                    start, end = at + len(tok) - len(bare), last_at + len(last) - tail
+                    yield i, n, key, tok, last, start, end, text[start:end]
+
+    def batch(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         heads = {k.split("_", 1)[0] for k in known}
         for b in batches:
-            rows = [(d, *h) for d, t in zip(b["doc_id"], b["text"]) if t is not None for h in hits(t, known, heads)]
-            yield pd.DataFrame(rows, columns=schema.names)
+            rows = []
+            for d, t in zip(b.column(0), b.column(1)):
+                if t.is_valid:
+                    rows += [(d.as_py(), *h) for h in hits(t.as_py(), known, heads)]
+                if len(rows) >= HITS:
+                    yield batch(rows)
+                    rows = []
+            if rows:
+                yield batch(rows)
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def dictionary_hits(docs: DataFrame, dictionary: DataFrame, stopwords: DataFrame | None = None, most: int = NGRAM, compat: bool = False) -> DataFrame:
@@ -186,22 +202,25 @@ def with_dictionary(docs: DataFrame, dictionary: DataFrame, stopwords: DataFrame
     named = reduce(lambda a, b: a | b, [F.contains(F.col("label"), F.lit(x)) for x in CAPITALISED])
     ok = (F.lit(not caps) | ~named | (capital(F.col("first")) & capital(F.col("last")))) if caps else F.lit(True)
     hits = hits.withColumn("take", wanted & ok).withColumn("block", ~wanted & (F.length("key") < OPEN_LENGTH)).where("take or block")
-    entry = F.struct("i", (-F.col("n")).alias("m"), "label", "start", "end", "take")
+    known = "ent" in hits.columns and not collapse  # else the text has to be met again
+    entry = F.struct("i", (-F.col("n")).alias("m"), "label", "start", "end", "take", (F.col("ent") if known else F.lit(None).cast("string")).alias("ent"))
     lists = hits.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("hits"))
-    kind = "struct<upto:int,got:array<struct<start:int,end:int,label:string>>>"
-    seed = F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<start:int,end:int,label:string>>").alias("got")).cast(kind)
+    kind = "struct<upto:int,got:array<struct<start:int,end:int,label:string,ent:string>>>"
+    seed = F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<start:int,end:int,label:string,ent:string>>").alias("got")).cast(kind)
 
     def step(acc: Column, h: Column) -> Column:
-        mention = F.struct(h["start"].alias("start"), h["end"].alias("end"), h["label"].alias("label"))
+        mention = F.struct(h["start"].alias("start"), h["end"].alias("end"), h["label"].alias("label"), h["ent"].alias("ent"))
         got = acc["got"]
         last = F.try_element_at(got, F.lit(-1))
         joined = h["label"].isin(*collapse) & (last["label"] == h["label"]) & (h["start"] - last["end"]).between(0, 1) if collapse else F.lit(False)
-        longer = F.array_append(F.slice(got, F.lit(1), F.greatest(F.size(got) - 1, F.lit(0))), F.struct(last["start"].alias("start"), h["end"].alias("end"), h["label"].alias("label")))
+        longer = F.array_append(F.slice(got, F.lit(1), F.greatest(F.size(got) - 1, F.lit(0))), F.struct(last["start"].alias("start"), h["end"].alias("end"), h["label"].alias("label"), h["ent"].alias("ent")))
         grown = F.when(~h["take"], got).when(F.coalesce(joined, F.lit(False)), longer).otherwise(F.array_append(got, mention))
         return F.when(h["i"] >= acc["upto"], F.struct((h["i"] - h["m"]).alias("upto"), grown.alias("got"))).otherwise(acc).cast(kind)
 
     rows = lists.select("doc_id", F.explode_outer(F.aggregate("hits", seed, step, lambda a: a["got"])).alias("m")).where("m is not null").select("doc_id", "m.*")
-    texts = rows.join(docs.select("doc_id", "text"), "doc_id")
+    if known:
+        return rows.select("doc_id", "ent", "start", "end", "label", F.lit(signal).alias("signal"), F.lit(weight).alias("weight"))
+    texts = rows.drop("ent").join(docs.select("doc_id", "text"), "doc_id")
     return texts.select("doc_id", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("ent"), "start", "end", "label", F.lit(signal).alias("signal"), F.lit(weight).alias("weight"))
 
 
